@@ -9,11 +9,14 @@ of the smaller set fixes. The sketch is cut into more than D parts, so at least
 in both; classes are joined on equal parts (of one band or neighbouring bands) and the pairs are
 verified on the whole sets.
 
-Parts hold 256 bits. Where D+1 is over `parts`, only that many of the D+1 parts are joined, and
-of these only those with three odd bits or more; each is untouched at the threshold itself with a
-chance of 0.37 * 0.83, so that a pair there is missed with a chance of 0.69 ** parts, under 1e-3
-for 20 (less above the threshold). Below, all of 2 (D+1) parts are joined. Nothing else is
-dropped: there is no cap on candidates or partners.
+Parts hold 2**20 bits, so that unrelated sets hardly ever agree on one by chance; only odd bits
+are ever stored. Sets for which 2 (D+1) parts are no more than `parts` have all of them joined,
+which is exact. For larger sets D+1 parts would be nearly as many as n-grams; there a part holds
+two n-grams on average (one up to 40 n-grams), at most `parts` parts are joined and, beyond 40
+n-grams, only parts with two odd bits or more. A part is then equal with a chance of 0.10 at a
+threshold of 0.5 and 0.2 at a similarity of 0.65, so a pair at the threshold is missed with a
+chance of about 0.9 ** 48 = 0.6 %, and with 7 % for sets of 50. There is no cap on candidates or
+partners.
 
 Defined results: null ids, and null, empty or wordless texts, join nothing; rows repeated with
 the same id count once; a text under several ids is a class; two texts under one id are two
@@ -32,8 +35,8 @@ from .components import components
 from .store import cut, table
 from .text import Words, grams, mix, mix_int, slices
 
-NGRAM, THRESHOLD, PARTS = 3, 0.7, 20
-_BITS = 256
+NGRAM, THRESHOLD, PARTS = 3, 0.5, 48
+_BIT = 20  # a part has 2**_BIT bits
 
 
 def _schemes(t: float, parts: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -44,8 +47,9 @@ def _schemes(t: float, parts: int, most: int = 1 << 40) -> tuple[np.ndarray, np.
         nxt = max(s + 1, int(s / t) + 1)
         u = nxt - 1
         d = int((1 - t) / (1 + t) * (u + int(u / t)) + 1e-9)
-        p = d + 1 if d + 1 > parts else min(parts, 2 * (d + 1))
-        first.append(s), total.append(p), joined.append(min(p, parts)), least.append(3 if d + 1 > parts else 1)
+        mid = (s * u) ** 0.5
+        p = 2 * (d + 1) if 2 * (d + 1) <= parts else int(mid) + 1 if mid <= 40 else int(mid / 2) + 1
+        first.append(s), total.append(p), joined.append(min(p, parts)), least.append(1 if 2 * (d + 1) <= parts or mid <= 40 else 2)
         s = nxt
     return np.array(first), np.array(total), np.array(joined), np.array(least)
 
@@ -91,21 +95,21 @@ def signatures(g: np.ndarray, off: np.ndarray, t: float, parts: int, first: np.n
     keep = use[doc]
     g, doc = g[keep], doc[keep]
     b = band[doc]
-    at = (mix(g ^ (b.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))) % (total[b] * _BITS).astype(np.uint64)).astype(np.int64)
-    keep = at < joined[b] * _BITS
-    x = np.sort((doc[keep].astype(np.int64) << 36) | at[keep])
+    at = (mix(g ^ (b.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))) % (total[b] << _BIT).astype(np.uint64)).astype(np.int64)
+    keep = at < joined[b] << _BIT
+    x = np.sort((doc[keep].astype(np.int64) << 40) | at[keep])
     if not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     head = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
     x = x[head][np.diff(np.r_[head, len(x)]) % 2 == 1]  # the odd bits
     if not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    part = x >> 8
+    part = x >> _BIT
     head = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    doc = x[head] >> 36
-    inside = (x & ((1 << 36) - 1)).astype(np.uint64)
-    bb = band[x >> 36].astype(np.uint64)
-    key = np.bitwise_xor.reduceat(mix(inside + (bb << np.uint64(40)) + np.uint64(12345)), head)
+    doc = x[head] >> 40
+    inside = (x & ((1 << 40) - 1)).astype(np.uint64)
+    bb = band[x >> 40].astype(np.uint64)
+    key = np.bitwise_xor.reduceat(mix(inside + (bb << np.uint64(44)) + np.uint64(12345)), head)
     bits = np.diff(np.r_[head, len(x)])
     ok = bits >= least[band[doc]]
     return doc[ok], mix(key[ok] + bb[head][ok])

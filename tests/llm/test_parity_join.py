@@ -57,10 +57,10 @@ def corpus(seed=3, docs=120):
 def test_join_against_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumnsRenamed({})
-    for t in (0.7, 0.9):
+    for t in (0.5, 0.8):
         got, want = expand(P.join(df, t=t)), brute(rows, 3, t)
         assert set(got) <= set(want)
-        assert len(got) >= 0.98 * len(want) > 20
+        assert len(got) >= 0.97 * len(want) > 20
         assert all(got[k] == want[k] for k in got)
 
 
@@ -85,6 +85,7 @@ def test_one_of_each_keeps_one_per_component(spark):
     for a, b in expand(P.join(df)):
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
+    assert len({find(i) for i in parent if i is not None}) < len(parent) - 40
     kept = sorted((r.doc_id is None, r.doc_id or 0) for r in P.one_of_each(df).collect())
     assert kept == sorted((i is None, i or 0) for i, _ in rows if i is None or find(i) == i)
 
@@ -109,10 +110,10 @@ def test_components(spark, one_task):
 
 def test_sketch_distance_bounds_difference():
     rnd = np.random.default_rng(0)
-    first, total, joined, least = P._schemes(0.7, 20)
+    first, total, joined, least = P._schemes(0.5, 48)
     assert (np.diff(first) > 0).all() and (joined <= total).all()
     sets = [np.unique(rnd.integers(0, 1 << 63, k).astype(np.uint64)) for k in (5, 40, 700)]
     for s in sets:
         off = np.array([0, len(s), 2 * len(s)])
-        d, k = P.signatures(np.concatenate([s, s]), off, 0.7, 20, first, total, joined, least, 0)
+        d, k = P.signatures(np.concatenate([s, s]), off, 0.5, 48, first, total, joined, least, 0)
         assert sorted(k[d == 0]) == sorted(k[d == 1]) and len(k)
