@@ -6,7 +6,9 @@ from importlib import import_module
 
 #: Query name -> module; the module has a function of that name and perhaps ORACLE.
 MODULES = {
+    "op5_sharding": "sharding",
     "op6_jaccard_join": "parity_join",
+    "op7_sentencepiece": "pieces",
     "op8_temperature_mixing": "mixing",
     "op9_suffix_dedup": "suffix_dedup",
     "op10_quality_rules": "quality_rules",
