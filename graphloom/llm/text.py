@@ -79,13 +79,23 @@ class Words:
     def __init__(self, col: pa.Array, lower: bool = True):
         if lower:
             col = pc.utf8_lower(col)
-        self.raw, self.text_off = string_buffer(col)
+        self._cut(*string_buffer(col), _IS_WORD)
+
+    @classmethod
+    def of_bytes(cls, raw: np.ndarray, text_off: np.ndarray, is_word: np.ndarray = _IS_WORD) -> Words:
+        """Of bytes at hand; is_word: a flag for each of the 256 bytes."""
+        out = cls.__new__(cls)
+        out._cut(raw, text_off, is_word)
+        return out
+
+    def _cut(self, raw: np.ndarray, text_off: np.ndarray, is_word: np.ndarray) -> None:
+        self.raw, self.text_off = raw, text_off
         b, n = self.raw, len(self.raw)
         if not n:
             self.hashes, self.start, self.end = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
             self.off = np.zeros(len(self.text_off), np.int64)
             return
-        isw = _IS_WORD[b]
+        isw = is_word[b]
         cut = self.text_off[:-1]
         cut = cut[cut < n]
         before = np.empty(n, bool)
