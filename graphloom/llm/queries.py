@@ -6,6 +6,8 @@ from importlib import import_module
 
 #: Query name -> module; the module has a function of that name and perhaps ORACLE.
 MODULES = {
+    "op1_quality_classifier": "nbsvm",
+    "op3_license_scan": "licenses",
     "op5_sharding": "sharding",
     "op6_jaccard_join": "parity_join",
     "op7_sentencepiece": "pieces",
