@@ -64,7 +64,7 @@ def estimate(docs: DataFrame, text: str = "text", sample_rows: int = 2000, rules
     sample_rows bounds the sample; it is spread over the first partitions that Spark needs to
     read to fill it, since only the order of the rules hangs on it.
     """
-    part = docs.sample(0.2, seed=7).select(text).limit(sample_rows).repartition(1).persist()
+    part = docs.sparkSession.createDataFrame(docs.sample(0.2, seed=7).select(F.col(text).alias(text)).take(sample_rows), docs.select(text).schema).coalesce(1).persist()
     try:
         rows = part.count()
         began = time.perf_counter()
