@@ -7,7 +7,9 @@ from importlib import import_module
 #: Query name -> module; the module has a function of that name and perhaps ORACLE.
 MODULES = {
     "op1_quality_classifier": "nbsvm",
+    "op2_hilbert_neighbours": "hilbert_knn",
     "op3_license_scan": "licenses",
+    "op4_ngram_lm": "ngram_lm",
     "op5_sharding": "sharding",
     "op6_jaccard_join": "parity_join",
     "op7_sentencepiece": "pieces",
