@@ -35,7 +35,7 @@ from .elias_fano import EliasFano, load, save
 from .store import local_path, new_path, table
 from .text import Words, slices
 
-MIN, DISCOUNT, PARTS = 2, 0.75, 64
+MIN, DISCOUNT = 2, 0.75
 BATCH_WORDS = 1_500_000
 
 
@@ -129,67 +129,57 @@ class Trie:
             if cuts[p] < cuts[p + 1]:
                 yield p, cuts[p], cuts[p + 1]
 
-    def pairs(self, w: np.ndarray, here: np.ndarray):
-        """(place in its part or -1, place among successors) of each pair w[i], w[i+1] for i in here."""
-        place, rel = np.full(len(w), -1), np.full(len(w), -1)
-        key = (w[here] << 32) | w[here + 1]
-        u, back = np.unique(key, return_inverse=True)
-        p_u, r_u = np.full(len(u), -1), np.full(len(u), -1)
-        first = u >> 32
-        for p, a, b in self.by_part(first):
+    def pairs(self, w: np.ndarray, here: np.ndarray, probs: bool = True) -> dict[str, np.ndarray]:
+        """The distinct pairs w[i], w[i+1] for i in here, in order, by name of column: word, place (-1 for none), rel (place among the word's successors), prob, back2; back: which of them each i has."""
+        u, back = np.unique((w[here] << 32) | w[here + 1], return_inverse=True)
+        out = {"word": u >> 32, "place": np.full(len(u), -1), "rel": np.full(len(u), -1), "back": back, "part": np.zeros(len(u), np.int64), "prob": np.ones(len(u)), "back2": np.ones(len(u))}
+        for p, a, b in self.by_part(out["word"]):
             x = self.part(p)
-            i, start = _successor(x.ptr, x.next, x.bound, first[a:b] - self.offsets[p], u[a:b] & 0xFFFFFFFF)
-            p_u[a:b], r_u[a:b] = i, np.where(i >= 0, i - start, -1)
-        place[here], rel[here] = p_u[back], r_u[back]
-        return place, rel
-
-    def value(self, name: str, which: str, word: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """A quantised value of pairs or words that are in the trie."""
-        u, back = np.unique((word << 32) | place, return_inverse=True)
-        out = np.empty(len(u))
-        for p, a, b in self.by_part(u >> 32):
-            x = getattr(self.part(p), which)
-            out[a:b] = x[f"{name}.levels"][x[name][u[a:b] & 0xFFFFFFFF]]
-        return out[back]
+            i, start = _successor(x.ptr, x.next, x.bound, out["word"][a:b] - self.offsets[p], u[a:b] & 0xFFFFFFFF)
+            hit = i >= 0
+            out["place"][a:b], out["rel"][a:b], out["part"][a:b] = i, np.where(hit, i - start, -1), p
+            for name in ("prob", "back2") if probs else ():
+                if name in x.pairs:
+                    out[name][a:b][hit] = x.pairs[f"{name}.levels"][x.pairs[name][i[hit]]]
+        return out
 
     def score(self, w: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """log10 probability of each word number, given those before it in its text."""
         n = len(w)
-        known = w >= 0
-        p1 = np.full(n, max(self.unknown, 1) / (self.total + 1))
-        u, back = np.unique(w[known], return_inverse=True)
-        c = np.empty(len(u))
+        u, back = np.unique(w, return_inverse=True)
+        p_u, b_u = np.full(len(u), max(self.unknown, 1) / (self.total + 1)), np.ones(len(u))
         for p, a, b in self.by_part(u):
-            c[a:b] = self.part(p).count[u[a:b] - self.offsets[p]]
-        p1[known] = (c / self.total)[back] if len(u) else 0
-        here = np.flatnonzero(known[:-1] & known[1:] & (doc[:-1] == doc[1:])) if n else np.zeros(0, np.int64)
-        place, rel = self.pairs(w, here)
+            x, i = self.part(p), u[a:b] - self.offsets[p]
+            p_u[a:b] = x.count[i] / self.total
+            b_u[a:b] = x.pairs["back.levels"][x.pairs["back"][i]]
+        p1 = p_u[back]
         out = p1.copy()
-        own = w[here]
-        part = np.searchsorted(self.offsets, own, "right") - 1
-        out[here + 1] = self.value("back", "pairs", own, own - self.offsets[part]) * p1[here + 1] if len(here) else out[here + 1]
-        seen = here[place[here] >= 0]
-        out[seen + 1] = self.value("prob", "pairs", w[seen], place[seen])
-        three = seen[:-1][np.diff(seen) == 1] if len(seen) else seen
-        # a trigram that ends in a pair that isn't in the trie backs off from its first pair too
-        two = seen[(seen + 2 < n)]
-        two = two[known[two + 2] & (doc[two] == doc[np.minimum(two + 2, n - 1)])]
-        low = out.copy()
-        out[two + 2] = self.value("back2", "pairs", w[two], place[two]) * low[two + 2]
-        three = three[(doc[three] == doc[np.minimum(three + 2, n - 1)])]
-        if len(three):
-            key = np.lexsort((rel[three + 1], place[three], w[three]))
-            s = three[key]
-            part = np.searchsorted(self.offsets, w[s], "right") - 1
-            for p in np.unique(part):
+        here = np.flatnonzero((w[:-1] >= 0) & (w[1:] >= 0) & (doc[:-1] == doc[1:])) if n else np.zeros(0, np.int64)
+        if not len(here):
+            return np.log10(out)
+        pair = self.pairs(w, here)
+        own = pair["back"]
+        seen = pair["place"][own] >= 0
+        out[here + 1] = np.where(seen, pair["prob"][own], b_u[back[here]] * p1[here + 1])
+        # a word after a pair of the trie has the pair's back-off weight times what it has after the second word alone
+        next_ = np.flatnonzero(seen[:-1] & (np.diff(here) == 1))
+        at = here[next_] + 2
+        low = out[at] * pair["back2"][own[next_]]
+        both = np.flatnonzero(pair["place"][own[next_ + 1]] >= 0)
+        if len(both):
+            key, which = np.unique((own[next_[both]] << 32) | pair["rel"][own[next_[both] + 1]], return_inverse=True)
+            first, rel = key >> 32, key & 0xFFFFFFFF
+            found = np.full(len(key), np.nan)
+            part, cut = np.unique(pair["part"][first], return_index=True)  # parts ascend with the pairs
+            for p, a, b in zip(part, cut, np.r_[cut[1:], len(key)]):
                 x = self.part(int(p))
-                t = s[part == p]
-                if x.triples is None:
-                    continue
-                i, _ = _successor(x.ptr3, x.next3, x.bound3, place[t], rel[t + 1])
-                hit = i >= 0
-                t, i = t[hit], i[hit]
-                out[t + 2] = x.triples["prob.levels"][x.triples["prob"][i]]
+                if x.triples is not None:
+                    i, _ = _successor(x.ptr3, x.next3, x.bound3, pair["place"][first[a:b]], rel[a:b])
+                    hit = i >= 0
+                    found[a:b][hit] = x.triples["prob.levels"][x.triples["prob"][i[hit]]]
+            p3 = found[which]
+            low[both] = np.where(np.isnan(p3), low[both], p3)
+        out[at] = low
         return np.log10(out)
 
 
@@ -233,9 +223,10 @@ def _gathered(batches):
         yield p, k[head], np.add.reduceat(c, head)
 
 
-def build(docs: DataFrame, text: str = "text", parts: int = PARTS, least: int = MIN, discount: float = DISCOUNT) -> tuple:
+def build(docs: DataFrame, text: str = "text", parts: int | None = None, least: int = MIN, discount: float = DISCOUNT) -> tuple:
     """The arguments of a Trie over the texts; its files are in a new folder of the shared one, which must be a mounted path."""
     spark = docs.sparkSession
+    parts = parts or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     at = local_path(new_path(spark, "ngrams"))
     os.makedirs(at)
     src = docs.select(F.col(text).alias("text")).filter("text IS NOT NULL")
@@ -299,15 +290,21 @@ def build(docs: DataFrame, text: str = "text", parts: int = PARTS, least: int =
         for _, h, size in _batches(batches, BATCH_WORDS):
             w, doc = trie.words(h), np.repeat(np.arange(len(size)), size)
             here = np.flatnonzero((w[:-1] >= 0) & (w[1:] >= 0) & (doc[:-1] == doc[1:]))
-            place, rel = trie.pairs(w, here)
-            t = here[:-1][(np.diff(here) == 1)] if len(here) else here
-            t = t[(place[t] >= 0) & (place[t + 1] >= 0)]
-            part = np.searchsorted(offsets, w[t], "right") - 1
-            for p in np.unique(part):
-                x = t[part == p]
-                k, at_first, c = np.unique((place[x].astype(np.uint64) << np.uint64(32)) | rel[x + 1].astype(np.uint64), return_index=True, return_counts=True)
-                prob = trie.value("prob", "pairs", w[x[at_first] + 1], place[x[at_first] + 1]).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([k.tobytes()]), pa.array([c.astype(np.uint32).tobytes()]), pa.array([prob.tobytes()])], ["part", "key", "count", "low"])
+            pair = trie.pairs(w, here)
+            own = pair["back"]
+            ok = pair["place"][own] >= 0
+            t = np.flatnonzero(ok[:-1] & ok[1:] & (np.diff(here) == 1))
+            if not len(t):
+                continue
+            # first pair and second pair, by number of the distinct pairs: ascends with part, place and rel within a word
+            k, c = np.unique((own[t] << 32) | own[t + 1], return_counts=True)
+            first, second = k >> 32, k & 0xFFFFFFFF
+            packed = (pair["place"][first].astype(np.uint64) << np.uint64(32)) | pair["rel"][second].astype(np.uint64)
+            prob = pair["prob"][second].astype(np.float32)
+            part, cut = np.unique(pair["part"][first], return_index=True)
+            rows = [(int(p), packed[a:b].tobytes(), c[a:b].astype(np.uint32).tobytes(), prob[a:b].tobytes()) for p, a, b in zip(part, cut, np.r_[cut[1:], len(k)])]
+            ps, ks, cs, ls = zip(*rows)
+            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(ks, pa.binary()), pa.array(cs, pa.binary()), pa.array(ls, pa.binary())], ["part", "key", "count", "low"])
 
     def build_triples(batches):
         trie = Trie(*how)
