@@ -321,9 +321,9 @@ def t6_token_index(g: Graph):
     return retrieve.token_index(g.nodes)
 
 
-@query(sql("SELECT id, round(bm25, 6) AS bm25 FROM bm WHERE bm25 > 0", _bm25(retrieve.groups("store price"))))
+@query(sql("SELECT id, round(bm25, 6) AS bm25 FROM bm WHERE bm25 > 0", _bm25(retrieve.groups("product red"))))
 def t7_bm25(g: Graph):
-    return retrieve.scored(g.nodes, retrieve.groups("store price")).filter("bm25 > 0").select("id", F.round("bm25", 6).alias("bm25"))
+    return retrieve.scored(g.nodes, retrieve.groups("product red")).filter("bm25 > 0").select("id", F.round("bm25", 6).alias("bm25"))
 
 
 @query()
@@ -587,11 +587,11 @@ def r2_grpc_edges(spark, sf_dir: str):
     return federation.grpc_edges(own, calls).select("src", "dst")
 
 
-@query("SELECT 'web' || chr(31) || 'c' || c_custkey AS src, lower(r_name) || chr(31) || 'h' || s_suppkey AS dst FROM customer JOIN supplier ON s_suppkey = c_custkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
+@query("SELECT 'web' || chr(31) || 'c' || c_custkey AS src, replace(lower(r_name), ' ', '-') || chr(31) || 'h' || s_suppkey AS dst FROM customer JOIN supplier ON s_suppkey = c_custkey JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey")
 def r3_http_edges(spark, sf_dir: str):
     t = relational.tables(spark, sf_dir)
     dim = t("nation").join(t("region"), F.expr("n_regionkey = r_regionkey"))
-    s = t("supplier").join(dim, F.expr("s_nationkey = n_nationkey")).select(F.lower("r_name").alias("host"), F.col("s_suppkey").cast("string").alias("k"))
+    s = t("supplier").join(dim, F.expr("s_nationkey = n_nationkey")).select(F.translate(F.lower("r_name"), " ", "-").alias("host"), F.col("s_suppkey").cast("string").alias("k"))
     serve = s.select(F.col("host").alias("child"), F.concat(F.lit("h"), "k").alias("id"), F.lit("route").alias("type"), F.concat(F.lit("GET /s/"), "k").alias("label"), F.lit("http").alias("protocol"), F.lit("inbound").alias("boundary_kind"))
     call = s.join(t("customer"), F.expr("cast(c_custkey AS string) = k")).select(F.lit("web").alias("child"), F.concat(F.lit("c"), "k").alias("id"), F.lit("rpc").alias("type"), F.concat(F.lit("GET http://"), F.upper("host"), F.lit(":80/s/"), "k", F.lit("?x=1")).alias("label"), F.lit("http").alias("protocol"), F.lit("outbound").alias("boundary_kind"))
     return federation.http_edges(serve.union(call)).select("src", "dst")
@@ -605,9 +605,9 @@ def r4_compose_edges(spark, sf_dir: str):
     return federation.compose_edges(s, r.select(F.col("c").alias("child"))).select("src", "dst")
 
 
-@query(sql("SELECT a.layer || chr(31) || a.id AS src, b.layer || chr(31) || b.id AS dst FROM n a JOIN n b ON a.type = 'service' AND b.type = 'deploy' AND b.label = 'CHINA' AND a.layer <> b.layer"))
+@query(sql("SELECT a.layer || chr(31) || a.id AS src, b.layer || chr(31) || b.id AS dst FROM n a JOIN n b ON a.type = 'service' AND b.type = 'deploy' AND b.label = 'NATION_3' AND a.layer <> b.layer"))
 def r5_import_edges(g: Graph):
-    n = _child_nodes(g).withColumn("type", F.regexp_replace("type", "^deploy$", "package")).withColumn("imports_from", F.when(F.col("type") == "service", F.array(F.lit("CHINA.core"))))
+    n = _child_nodes(g).withColumn("type", F.regexp_replace("type", "^deploy$", "package")).withColumn("imports_from", F.when(F.col("type") == "service", F.array(F.lit("NATION_3.core"))))
     return federation.import_edges(n.select("child", "id", "type", "label", "imports_from")).select("src", "dst")
 
 
