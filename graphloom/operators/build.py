@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from .. import schema as S
 from ..functions import columns as C
 from ..model import Graph, fill
+from ..store import cut
 from .traverse import first_of
 
 
@@ -176,7 +177,7 @@ def anchors(g: Graph) -> DataFrame:
 
 def close(g: Graph) -> Graph:
     """File anchors over contained nodes, imports as depends_on edges, marks on calls."""
-    at = anchors(g)
+    at = cut(anchors(g))
     new = at.join(g.nodes.select("id"), "id", "left_anti").select("id", F.lit("file").alias("type"), F.col("file").alias("label"), "file", F.lit(_BY).alias("source_strategy"), F.lit("{}").alias("props_json"))
     nodes = g.nodes.unionByName(fill(new, S.NODE))
     bag = lambda **x: F.to_json(F.struct(*[v.alias(k) for k, v in sorted(x.items())]))
@@ -199,7 +200,7 @@ def close(g: Graph) -> Graph:
     module = imp.select("src", "raw", F.posexplode(F.array(F.col("name"), F.translate("name", "/", "."))).alias("p", "key")).join(index.withColumnRenamed("id", "dst"), F.col("key") == F.col("name")).groupBy("src", "raw").agg(F.min_by("dst", "p").alias("module_dst"))
     found = imp.select("src", "raw", "name", "language").distinct().join(by_path, ["src", "raw"], "left").join(module, ["src", "raw"], "left")
     outside = F.concat_ws(":", F.lit("package"), "language", F.when(F.col("language") == "java", F.regexp_replace("name", r"\.(\*|[^.]+)$", "")).otherwise(F.col("name")))
-    found = found.withColumn("dst", F.coalesce("path_dst", "module_dst", outside)).withColumn("how", F.when(F.col("path_dst").isNotNull(), "local_path").when(F.col("module_dst").isNotNull(), "local_module").otherwise("external")).filter("dst <> src")
+    found = cut(found.withColumn("dst", F.coalesce("path_dst", "module_dst", outside)).withColumn("how", F.when(F.col("path_dst").isNotNull(), "local_path").when(F.col("module_dst").isNotNull(), "local_module").otherwise("external")).filter("dst <> src"))
     links = found.select("src", "dst", F.lit("depends_on").alias("type"), bag(source_strategy=F.lit(_BY), confidence=F.when(F.col("how") == "external", "inferred").otherwise("definite"), import_name=F.col("raw"), normalized_import=F.col("name"), language=F.col("language"), resolution=F.col("how")).alias("props_json"))
     packages = found.filter("how = 'external'").select(F.col("dst").alias("id"), F.lit("package").alias("type"), F.regexp_extract("dst", "^package:[^:]*:(.*)$", 1).alias("label"), "language", F.lit(_BY).alias("source_strategy"), F.lit('{"external": true}').alias("props_json")).dropDuplicates(["id"]).join(g.nodes.select("id"), "id", "left_anti")
     return Graph(nodes.unionByName(fill(packages, S.NODE)), decorate_calls(Graph(nodes, g.edges)).unionByName(inside).unionByName(links), g.meta)

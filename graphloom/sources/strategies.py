@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as S
 from ..model import Graph, fill
+from ..store import cut
 from .files import constants
 
 ROW = "kind string, id string, type string, label string, src string, dst string, props_json string"
@@ -82,7 +83,8 @@ def discover(files: DataFrame, plan: list[str] | None = None) -> Graph:
         g = fragment(run(name, files), name)
         n, e = g.nodes.withColumn("pos", F.lit(i)), g.edges.withColumn("pos", F.lit(i))
         nodes, edges = (n, e) if nodes is None else (nodes.unionByName(n), edges.unionByName(e))
-    return post_process(Graph(first_of(nodes, ["id"], [F.desc("pos"), "props_json"]).drop("pos"), first_of(edges, ["src", "dst", "type"], [F.col("pos"), F.col("props_json")]).drop("pos")))
+    # files are read and parsed once
+    return post_process(Graph(cut(first_of(nodes, ["id"], [F.desc("pos"), "props_json"]).drop("pos")), cut(first_of(edges, ["src", "dst", "type"], [F.col("pos"), F.col("props_json")]).drop("pos"))))
 
 
 def external(command: list[str], timeout: int = 30, safe: bool = False) -> dict:

@@ -22,7 +22,8 @@ def seconds(text: str) -> float:
 def bursts(changes: DataFrame, gap: str = "2 seconds", late: str = "10 seconds", keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, start, end, paths) of changes (ts, path) with no more than gap between them. Of a stream, a burst is given once the watermark has passed its end."""
     src = changes.withWatermark("ts", late) if changes.isStreaming else changes
-    g = src.groupBy(*keys, F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("n"))
+    own = keys or (F.when(F.col("path").isNull(), 1).otherwise(0).alias("named"),)  # a stream needs a key beside the window
+    g = src.groupBy(*own, F.session_window("ts", gap).alias("w")).agg(F.array_sort(F.collect_set("path")).alias("paths"), F.count("*").alias("n"))
     return g.select(*keys, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "paths", "n")
 
 
