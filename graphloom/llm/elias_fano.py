@@ -7,7 +7,6 @@ import json
 import numpy as np
 
 _ONE = np.uint64(1)
-_SAMPLE = 32
 _STEPS = [(np.uint64(s), np.uint64((1 << s) - 1)) for s in (32, 16, 8, 4, 2, 1)]
 
 
@@ -34,7 +33,7 @@ class EliasFano:
     def __init__(self, part: dict[str, np.ndarray], name: str):
         self.low, self.bits, self.ones, self.zeros = (part[f"{name}.{x}"] for x in ("low", "bits", "ones", "zeros"))
         self.n, self.l = len(self.low) if len(self.low) else int(part[f"{name}.size"][0]), int(part[f"{name}.size"][1])
-        self.top = int(part[f"{name}.size"][2])
+        self.top, self.one_step, self.zero_step = (int(x) for x in part[f"{name}.size"][2:])
 
     @staticmethod
     def parts(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
@@ -50,11 +49,15 @@ class EliasFano:
         flags = np.zeros(-(-size // 64) * 64 + 64, np.uint8)
         flags[at] = 1
         zeros = np.flatnonzero(flags[:size] == 0)
-        return {f"{name}.low": low, f"{name}.bits": np.packbits(flags, bitorder="little").view(np.uint64), f"{name}.ones": at[::_SAMPLE].astype(np.int64), f"{name}.zeros": zeros[::_SAMPLE].astype(np.int64), f"{name}.size": np.array([n, bits, int(high[-1]) if n else -1], np.int64)}
-
-    def _select(self, k: np.ndarray, sample: np.ndarray, flip: np.uint64) -> np.ndarray:
-        p = sample[k // _SAMPLE]
-        r = k % _SAMPLE
+        # about 64 bits from a sampled place to the next
+        one_step, zero_step = (max(1, 64 * k // size) for k in (n, len(zeros)))
+        return {f"{name}.low": low, f"{name}.bits": np.packbits(flags, bitorder="little").view(np.uint64), f"{name}.ones": at[::one_step].astype(np.int64), f"{name}.zeros": zeros[::zero_step].astype(np.int64), f"{name}.size": np.array([n, bits, int(high[-1]) if n else -1, one_step, zero_step], np.int64)}
+
+    def _select(self, k: np.ndarray, sample: np.ndarray, every: int, flip: np.uint64) -> np.ndarray:
+        if every == 1:
+            return sample[k]
+        p = sample[k // every]
+        r = k % every
         word = p >> 6
         w = (self.bits[word] ^ flip) & (~np.uint64(0) << (p & 63).astype(np.uint64))
         c = np.bitwise_count(w).astype(np.int64)
@@ -69,7 +72,7 @@ class EliasFano:
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
-        high = self._select(i.copy(), self.ones, np.uint64(0)) - i
+        high = self._select(i.copy(), self.ones, self.one_step, np.uint64(0)) - i
         return high if not self.l else self.low[i].astype(np.int64) if self.l == 64 else (high << self.l) | self.low[i].astype(np.int64)
 
     def find(self, v: np.ndarray) -> np.ndarray:
@@ -79,8 +82,8 @@ class EliasFano:
         h = np.where(inside, high, 0)
         if self.top < 0:
             return np.zeros(len(v), np.int64)
-        begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, ~np.uint64(0)) - (h - 1), 0)
-        end = np.where(h < self.top, self._select(np.minimum(h, max(self.top - 1, 0)), self.zeros, ~np.uint64(0)) - h, self.n) if self.top else np.full(len(v), self.n)
+        begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, self.zero_step, ~np.uint64(0)) - (h - 1), 0)
+        end = np.where(h < self.top, self._select(np.minimum(h, max(self.top - 1, 0)), self.zeros, self.zero_step, ~np.uint64(0)) - h, self.n) if self.top else np.full(len(v), self.n)
         begin = np.where(inside, begin, self.n)
         end = np.where(inside, end, self.n)
         if not self.l:
