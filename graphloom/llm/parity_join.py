@@ -10,13 +10,21 @@ in both; classes are joined on equal parts (of one band or neighbouring bands) a
 verified on the whole sets.
 
 Parts hold 2**20 bits, so that unrelated sets hardly ever agree on one by chance; only odd bits
-are ever stored. Sets for which 2 (D+1) parts are no more than `parts` have all of them joined,
-which is exact. For larger sets D+1 parts would be nearly as many as n-grams; there a part holds
-two n-grams on average (one up to 40 n-grams), at most `parts` parts are joined and, beyond 40
-n-grams, only parts with two odd bits or more. A part is then equal with a chance of 0.10 at a
-threshold of 0.5 and 0.2 at a similarity of 0.65, so a pair at the threshold is missed with a
-chance of about 0.9 ** 48 = 0.6 %, and with 7 % for sets of 50. There is no cap on candidates or
-partners.
+are ever stored. A part without odd bits is equal in most sets and joins nothing, so D+1 parts
+alone guarantee nothing; what counts is the chance q that a part is equal and holds something. The
+number of parts of a band is the one of greatest q for the worst pair of the band at the threshold
+(at t = 0.5 the shared n-grams are as many as the others, as in a text within one of twice its
+size), and `parts` of them are joined, which misses that pair with a chance of (1-q)**parts:
+`chance` gives the largest of all bands, 1e-4 at t = 0.5 and 48 parts, and less above t. Bands that
+would have fewer parts, and those of sets of up to EXACT n-grams, have 2**20 instead, an n-gram each.
+There each set is joined on its first n - ceil(t n) + 1 n-grams, the rare ones first; two sets that
+share t of the larger one share one of those (prefix filter), so nothing is missed.
+
+N-grams of very many texts (`common_grams`, from a sample) would fill single parts of unrelated
+texts. A part of nothing else is left out, but not where (1-RARE) t of the text's n-grams are common:
+if less than RARE of what a pair shares is rare, that holds for both of its sets. q counts RARE of
+the shared n-grams only, so the chance above covers both cases, whatever the sample was. There is
+no cap on candidates or partners.
 
 Defined results: null ids, and null, empty or wordless texts, join nothing; rows repeated with
 the same id count once; a text under several ids is a class; two texts under one id are two
@@ -36,22 +44,37 @@ from .store import cut, table
 from .text import Words, grams, mix, mix_int, slices
 
 NGRAM, THRESHOLD, PARTS = 3, 0.5, 48
+EXACT, RARE, SAMPLE, COMMON = 126, 0.75, 8000, 8  # common n-grams are in COMMON of SAMPLE texts
 _BIT = 20  # a part has 2**_BIT bits
 
 
+def _equal(both: float, p: np.ndarray, t: float) -> np.ndarray:
+    """Chance that one of p parts is equal and holds a rare n-gram, of two sets of `both` n-grams in sum and similarity t."""
+    return (1 - np.exp(-RARE * t / (1 + t) * both / p)) * np.exp(-(1 - t) / (1 + t) * both / p)
+
+
 def _schemes(t: float, parts: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each size band: its first size, parts in all, parts that are joined, odd bits that a joined part needs."""
-    first, total, joined, least = [], [], [], []
+    first, total, joined = [], [], []
     s = 1
     while s < most:
         nxt = max(s + 1, int(s / t) + 1)
         u = nxt - 1
-        d = int((1 - t) / (1 + t) * (u + int(u / t)) + 1e-9)
-        mid = (s * u) ** 0.5
-        p = 2 * (d + 1) if 2 * (d + 1) <= parts else int(mid) + 1 if mid <= 40 else int(mid / 2) + 1
-        first.append(s), total.append(p), joined.append(min(p, parts)), least.append(1 if 2 * (d + 1) <= parts or mid <= 40 else 2)
+        p = s * np.geomspace(0.02, 50, 4000)
+        p = int(p[np.minimum(_equal(2 * s, p, t), _equal(u * (1 + 1 / t), p, t)).argmax()]) + 1
+        p = p if p >= parts and u > EXACT else 1 << _BIT
+        first.append(s), total.append(p), joined.append(p if p == 1 << _BIT else parts)
         s = nxt
-    return np.array(first), np.array(total), np.array(joined), np.array(least)
+    return np.array(first), np.array(total), np.array(joined), np.ones(len(first), np.int64)
+
+
+def chance(t: float = THRESHOLD, parts: int = PARTS) -> float:
+    """The greatest chance that a pair of similarity t is missed, of all bands that do not join all parts."""
+    first, total, joined, _ = _schemes(t, parts)
+    some = joined < total
+    low, high = first[:-1][some[:-1]], first[1:][some[:-1]] - 1
+    q = np.minimum(_equal(2 * low, total[:-1][some[:-1]], t), _equal(high * (1 + 1 / t), total[:-1][some[:-1]], t))
+    return float(((1 - q) ** parts).max())
 
 
 def text_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,23 +108,34 @@ def _print_of(g: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
-def signatures(g: np.ndarray, off: np.ndarray, t: float, parts: int, first: np.ndarray, total: np.ndarray, joined: np.ndarray, least: np.ndarray, up: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of each joined part under the scheme of the text's band (up=0) or of the band below (up=1)."""
+def signatures(g: np.ndarray, off: np.ndarray, t: float, parts: int, first: np.ndarray, total: np.ndarray, joined: np.ndarray, least: np.ndarray, up: int, common: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray]:
+    """(text, key) of each joined part under the scheme of the text's band (up=0) or of the band below (up=1); common: sorted."""
     size = np.diff(off)
     band = np.searchsorted(first, size, "right") - 1 - up
     use = (size > 0) & (band >= 0)
     band = np.where(use, band, 0)
     doc = np.repeat(np.arange(len(size)), size)
+    rare = ~(common[np.minimum(np.searchsorted(common, g), len(common) - 1)] == g) if len(common) else np.ones(len(g), bool)
+    whole = np.bincount(doc, ~rare, len(size)) >= (1 - RARE) * t * size - 1e-9
     keep = use[doc]
-    g, doc = g[keep], doc[keep]
+    g, doc, rare = g[keep], doc[keep], rare[keep]
     b = band[doc]
+    every = joined == total
+    order = np.lexsort((g, ~rare, doc))
+    rank = np.empty(len(g), np.int64)
+    rank[order] = np.arange(len(g)) - np.searchsorted(doc, doc)
+    keep = ~every[b] | (rank < (size - np.ceil(t * size - 1e-9) + 1)[doc])
+    g, doc, rare, b = g[keep], doc[keep], rare[keep], b[keep]
     at = (mix(g ^ (b.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))) % (total[b] << _BIT).astype(np.uint64)).astype(np.int64)
     keep = at < joined[b] << _BIT
-    x = np.sort((doc[keep].astype(np.int64) << 40) | at[keep])
+    x, rare = (doc[keep].astype(np.int64) << 40) | at[keep], rare[keep]
     if not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    order = np.argsort(x)
+    x, rare = x[order], rare[order]
     head = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    x = x[head][np.diff(np.r_[head, len(x)]) % 2 == 1]  # the odd bits
+    odd = np.diff(np.r_[head, len(x)]) % 2 == 1
+    x, rare = x[head][odd], rare[head][odd]
     if not len(x):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     part = x >> _BIT
@@ -111,11 +145,26 @@ def signatures(g: np.ndarray, off: np.ndarray, t: float, parts: int, first: np.n
     bb = band[x >> 40].astype(np.uint64)
     key = np.bitwise_xor.reduceat(mix(inside + (bb << np.uint64(44)) + np.uint64(12345)), head)
     bits = np.diff(np.r_[head, len(x)])
-    ok = bits >= least[band[doc]]
+    ok = (bits >= least[band[doc]]) & (np.logical_or.reduceat(rare, head) | whole[doc] | every[band[doc]])
     return doc[ok], mix(key[ok] + bb[head][ok])
 
 
-def _base(n: int, t: float, parts: int):
+def common_grams(src: DataFrame, n: int) -> np.ndarray:
+    """Sorted hashes of the n-grams that are in COMMON or more of about SAMPLE texts."""
+
+    def count(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                g, c = np.unique(text_sets(part.column("text"), n)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c)], ["g", "c"])
+
+    share = min(1.0, SAMPLE / max(1, src.count()))
+    sample = src.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * share) + 1)
+    found = sample.mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).filter(F.col("c") >= COMMON).select("g").collect()
+    return np.sort(np.array([r.g for r in found], np.int64).view(np.uint64))
+
+
+def _base(n: int, t: float, parts: int, common):
     first, total, joined, least = _schemes(t, parts)
 
     def run(batches):
@@ -126,7 +175,7 @@ def _base(n: int, t: float, parts: int):
                 size = np.diff(off)
                 keys, owner, role = [], [], []
                 for up in (0, 1):
-                    d, k = signatures(g, off, t, parts, first, total, joined, least, up)
+                    d, k = signatures(g, off, t, parts, first, total, joined, least, up, common.value)
                     keys.append(k), owner.append(d), role.append(np.full(len(k), up, np.uint64))
                 owner, keys, role = map(np.concatenate, (owner, keys, role))
                 keys = (keys & ~np.uint64(1)) | role  # the last bit: from the band above
@@ -231,7 +280,8 @@ def _verify(t: float):
 def classes_and_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = NGRAM, t: float = THRESHOLD, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
     """classes (f1, doc_id: least id, ids: sorted list) and the verified pairs (a, b, jaccard) of distinct classes by f1."""
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    base = src.mapInArrow(_base(n, t, parts), "doc_id long, n int, f1 long, f2 long, sig array<long>")
+    common = src.sparkSession.sparkContext.broadcast(common_grams(src, n))
+    base = src.mapInArrow(_base(n, t, parts, common), "doc_id long, n int, f1 long, f2 long, sig array<long>")
     classes = cut(base.groupBy("f1", "f2").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
     sig = classes.select("f1", "n", F.explode("sig").alias("key")).repartition(F.shiftright("key", 1))
     found = sig.mapInArrow(_bucket_pairs(t), "a long, b long, cell long").groupBy("a", "b").agg(F.min("cell").alias("cell"))

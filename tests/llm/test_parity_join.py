@@ -117,3 +117,35 @@ def test_sketch_distance_bounds_difference():
         off = np.array([0, len(s), 2 * len(s)])
         d, k = P.signatures(np.concatenate([s, s]), off, 0.5, 48, first, total, joined, least, 0)
         assert sorted(k[d == 0]) == sorted(k[d == 1]) and len(k)
+
+
+@pytest.mark.parametrize("small, big", [(62, 124), (62, 110), (62, 62), (126, 252), (254, 508), (1022, 2044)])
+@pytest.mark.parametrize("often", [False, True])
+def test_pairs_at_the_threshold_share_a_part(small, big, often):
+    """The worst pairs of a band: one set within the other, the first at its top; a quarter of the shared n-grams common."""
+    rnd = np.random.default_rng(small + big)
+    scheme = P._schemes(0.5, P.PARTS)
+    missed = 0
+    for _ in range(300):
+        b = rnd.integers(0, 1 << 63, big).astype(np.uint64)
+        shared = small if big > small else -(-2 * small // 3)
+        a = np.r_[b[:shared], rnd.integers(0, 1 << 63, small - shared).astype(np.uint64)]
+        common = np.sort(b[: shared // 4]) if often else np.zeros(0, np.uint64)
+        bands = np.searchsorted(scheme[0], [small, big], "right")
+        (_, x), (_, y) = (P.signatures(np.sort(s), np.array([0, len(s)]), 0.5, P.PARTS, *scheme, up, common) for s, up in ((a, 0), (b, int(bands[1] - bands[0]))))
+        missed += not np.isin(x, y).any()
+    assert missed == 0
+
+
+def test_pairs_that_share_mostly_common_grams():
+    rnd = np.random.default_rng(4)
+    scheme = P._schemes(0.5, P.PARTS)
+    for _ in range(200):
+        b = rnd.integers(0, 1 << 63, 252).astype(np.uint64)
+        common = np.sort(b[:40])  # more than a quarter of the 126 shared ones
+        (_, x), (_, y) = (P.signatures(np.sort(s), np.array([0, len(s)]), 0.5, P.PARTS, *scheme, up, common) for s, up in ((b[:126], 0), (b, 1)))
+        assert np.isin(x, y).any()
+
+
+def test_chance_of_a_miss():
+    assert P.chance(0.5, 48) < 1e-4 and P.chance(0.8, 48) < 1e-4
