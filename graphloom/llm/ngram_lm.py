@@ -10,9 +10,10 @@ Lookups are successor searches within the range that the pointers give. Probabil
 back-off weights are quantised to 256 levels a part, exactly where there are no more values.
 
 Each pass over the corpus gathers sorted counts as packed blocks, one a task and part, by one
-exchange: words, then pairs, then trigrams. Words, pairs and trigrams that occur once (fewer than
-MIN times) are left out of the trie; their mass goes to the lower order, and left-out words share
-the mass of unknown ones. With c the counts, D the discount and T all words:
+exchange: words, then pairs, then trigrams. The query keeps all of them, those that occur once too.
+With `least` above 1 (MIN, where a caller of `build` says nothing) those that occur less often are
+left out of the trie; their mass goes to the lower order, and left-out words share the mass of
+unknown ones. With c the counts, D the discount and T all words:
 p(w) = c(w)/T, p(w|v) = max(c(vw)-D,0)/c(v) + b(v) p(w), p(w|uv) = max(c(uvw)-D,0)/c(uv) + b(uv)
 p(w|v), with b the mass that is left; a pair or trigram that is not in the trie has b times the
 lower order alone.
@@ -362,4 +363,4 @@ def score(docs: DataFrame, how: tuple, id_col: str = "doc_id", text: str = "text
 
 def op4_ngram_lm(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return score(docs, build(docs))
+    return score(docs, build(docs, least=1))

@@ -92,3 +92,13 @@ def test_empty_and_unique_corpora(spark):
     got = {r.doc_id: r for r in L.score(df, L.build(df, parts=3)).collect()}
     assert got[1].unknown == 3 and got[2].n_words == 1
     assert L.score(df.limit(0), L.build(df.limit(0), parts=2)).count() == 0
+
+
+def test_query_counts_what_occurs_once(spark, tmp_path):
+    rnd = random.Random(8)
+    texts = [" ".join(rnd.choices([f"w{k}" for k in range(25)], k=30) + [f"once{i}", "w1", f"more{i}"]) for i in range(60)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in L.op4_ngram_lm(spark, str(tmp_path)).collect()}
+    want = brute(texts, least=1)
+    assert all(got[i].unknown == 0 and abs(got[i].log10_prob - s) < 0.01 * n for i, (n, _, s) in enumerate(want))
+    assert abs(sum(r.log10_prob for r in got.values()) / sum(s for *_, s in want) - 1) < 2e-3
