@@ -87,27 +87,29 @@ def _keyed(curves: int):
     return run
 
 
-def _best(sim: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k best of each row and some more, for a second ranking."""
-    k = min(k + 6, sim.shape[1])
-    return np.argpartition(-sim, k - 1, axis=1)[:, :k] if k < sim.shape[1] else np.broadcast_to(np.arange(k), sim.shape)
+def _best(sim: np.ndarray, k: int, margin: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of all that may be among the k best of each row: within the margin of its k-th best."""
+    k = min(k, sim.shape[1])
+    least = -np.partition(-sim, k - 1, axis=1)[:, k - 1] - margin
+    return np.nonzero((sim >= least[:, None]) & (sim > -5))
 
 
 def _ranked(q: np.ndarray, qid: np.ndarray, c: np.ndarray, cid: np.ndarray, k: int):
     """(query id, neighbour id, similarity) of the k best candidates of each query, itself apart."""
     c32 = c.astype(np.float32)
+    margin = 4 * (c.shape[1] + 4) * 2.0**-24  # twice the rounding of two float32 products of unit vectors
     out = []
     for i in range(0, len(q), 256):
         part, own = q[i : i + 256], qid[i : i + 256]
         sim = part.astype(np.float32) @ c32.T
         sim[own[:, None] == cid[None, :]] = -9
-        at = _best(sim, cid, k)
-        exact = np.round(np.einsum("qd,qkd->qk", part, c[at]), 12)
-        exact[cid[at] == own[:, None]] = -9
-        order = np.lexsort((cid[at], -exact), axis=1)[:, :k]
-        near, best = np.take_along_axis(cid[at], order, 1), np.take_along_axis(exact, order, 1)
-        ok = best > -5
-        out.append((np.repeat(own, ok.sum(1)), near[ok], best[ok]))
+        row, col = _best(sim, k, margin)
+        exact = np.concatenate([np.zeros(0), *(np.einsum("nd,nd->n", part[row[j : j + 50_000]], c[col[j : j + 50_000]]) for j in range(0, len(row), 50_000))])
+        exact = np.round(exact, 12)
+        order = np.lexsort((cid[col], -exact, row))
+        row, col, exact = row[order], col[order], exact[order]
+        ok = np.arange(len(row)) - np.searchsorted(row, row) < k
+        out.append((own[row[ok]], cid[col[ok]], exact[ok]))
     return [np.concatenate(x) for x in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
 
 

@@ -52,3 +52,13 @@ def test_setting():
     assert H.setting([(0, 1), (0, 2)], places, 100, 1.0) == (2, 0)
     assert H.setting([(0, 1)], places, 100, 1.0) == (2, 0)
     assert H.setting([], places, 3, 0.9) == (1, 3)
+
+
+def test_ties_of_many_equal_vectors_go_to_the_smaller_id():
+    rnd = np.random.default_rng(6)
+    v = np.concatenate([np.repeat(rnd.normal(size=(1, 64)), 600, axis=0), rnd.normal(size=(300, 64))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = rnd.permutation(900)
+    q, near, _ = H._ranked(v, ids, v, ids, 10)
+    for i in ids[:600]:
+        assert near[q == i].tolist() == [x for x in np.sort(ids[:600]) if x != i][:10]
