@@ -1,323 +1,478 @@
 """Operator 6, n-gram Jaccard join by parity sketches.
 
-A text is the set of its word n-grams (of all its words where it has fewer than n). Texts with
-equal sets form one class, so copies are compared once however many there are. Every class
-XOR-hashes its n-grams into a bit sketch: a bit is the parity of the n-grams that fall on it, so
-the Hamming distance of two sketches is at most the symmetric difference of the sets. Jaccard
-similarity of at least t bounds that difference by D = (1-t)/(1+t) (|A|+|B|), which the size band
-of the smaller set fixes. The sketch is cut into more than D parts, so at least one part is equal
-in both; classes are joined on equal parts (of one band or neighbouring bands) and the pairs are
-verified on the whole sets.
-
-Parts hold 2**20 bits, so that unrelated sets hardly ever agree on one by chance; only odd bits
-are ever stored. A part without odd bits is equal in most sets and joins nothing, so D+1 parts
-alone guarantee nothing; what counts is the chance q that a part is equal and holds something. The
-number of parts of a band is the one of greatest q for the worst pair of the band at the threshold
-(at t = 0.5 the shared n-grams are as many as the others, as in a text within one of twice its
-size), and `parts` of them are joined, which misses that pair with a chance of (1-q)**parts:
-`chance` gives the largest of all bands, 1e-4 at t = 0.5 and 48 parts, and less above t. Bands that
-would have fewer parts, and those of sets of up to EXACT n-grams, have 2**20 instead, an n-gram each.
-There each set is joined on its first n - ceil(t n) + 1 n-grams, the rare ones first; two sets that
-share t of the larger one share one of those (prefix filter), so nothing is missed.
-
-N-grams of very many texts (`common_grams`, from a sample) would fill single parts of unrelated
-texts. A part of nothing else is left out, but not where (1-RARE) t of the text's n-grams are common:
-if less than RARE of what a pair shares is rare, that holds for both of its sets. q counts RARE of
-the shared n-grams only, so the chance above covers both cases, whatever the sample was. There is
-no cap on candidates or partners.
-
-Defined results: null ids, and null, empty or wordless texts, join nothing; rows repeated with
-the same id count once; a text under several ids is a class; two texts under one id are two
-documents, but are never paired with each other; an empty table gives no rows; columns other
-than id and text are ignored by `classes_and_pairs` and kept by `one_of_each`.
+A text is the set of its word n-grams (of all its words where it has fewer than n). Texts with equal
+sets form one class, so copies are compared once however many there are. A class XOR-hashes its
+n-grams into sketches: a bit is the parity of the n-grams that fall on it, so the Hamming distance of
+two sketches is at most the symmetric difference of the sets. Jaccard similarity of at least t bounds
+that difference by D = (1-t)/(1+t) (|A|+|B|).
+
+Candidates come by the pigeonhole principle from a sketch of 2**56 bits, so wide that an odd bit is one
+n-gram: of the |A| - ceil(t|A|) + 1 first odd bits of A in any order that all sets share one is odd in
+each B of similarity t and at most A's size, and for the smaller set of a pair the first
+|A| - ceil(2t/(1+t) |A|) + 1 will do. (Parts of several bits guarantee nothing at t = 0.5: any of D
+differences breaks a part, and then parts that are empty in both sets are the only ones sure to be equal.)
+The order is by the number of texts with the n-gram, rare ones first. N-grams of one text only lead
+it and match nothing, so most texts have no bits left to join on; which n-grams those are says a
+`Lookup` table of all others, built by one exchange of packed hash prefixes (a prefix of
+log2(all n-grams) + SPARE bits, so about one n-gram of 2**SPARE is taken for a frequent one, which costs
+time and loses nothing).
+
+Sets that share such a bit within neighbouring size bands are linked, not paired: each batch of texts
+and then each range of bits keeps a spanning forest, so a bit of very many texts is one entry a batch.
+Connected components of the links are compared within tasks, a component of more than BLOCK n-grams or
+SETS sets in blocks, each block with each. There sketches of some thousand bits rule out pairs by their
+Hamming distance, and the rest is verified on the whole sets. Pairs never leave a task: it gives each
+set's number of linked documents and a spanning forest of the links. No cap, no sample, no chance.
+
+Defined results: ids may be of any type with an order. A document is an (id, set of n-grams); rows
+repeated under an id count once, two texts under one id are two documents. Rows with null ids are no
+documents; null, empty or wordless texts are documents without links, a class each. Ties need no
+breaking, as nothing is ranked; similarity equal to t counts. Very long texts are taken whole. An empty
+table gives no rows. Columns other than id and text are ignored by `join` and kept by `one_of_each`,
+whatever their names.
 """
 
 from __future__ import annotations
 
+import shutil
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .components import components
+from .components import components, forest
+from .elias_fano import save
+from .lookup import Lookup, bounds, folder, pack, pack_any, sorted_with_places, unpack, unpack_any, write
 from .store import cut, table
 from .text import Words, grams, mix, mix_int, slices
 
-NGRAM, THRESHOLD, PARTS = 3, 0.5, 48
-EXACT, RARE, SAMPLE, COMMON = 126, 0.75, 8000, 8  # common n-grams are in COMMON of SAMPLE texts
-_BIT = 20  # a part has 2**_BIT bits
-
-
-def _equal(both: float, p: np.ndarray, t: float) -> np.ndarray:
-    """Chance that one of p parts is equal and holds a rare n-gram, of two sets of `both` n-grams in sum and similarity t."""
-    return (1 - np.exp(-RARE * t / (1 + t) * both / p)) * np.exp(-(1 - t) / (1 + t) * both / p)
-
-
-def _schemes(t: float, parts: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each size band: its first size, parts in all, parts that are joined, odd bits that a joined part needs."""
-    first, total, joined = [], [], []
-    s = 1
-    while s < most:
-        nxt = max(s + 1, int(s / t) + 1)
-        u = nxt - 1
-        p = s * np.geomspace(0.02, 50, 4000)
-        p = int(p[np.minimum(_equal(2 * s, p, t), _equal(u * (1 + 1 / t), p, t)).argmax()]) + 1
-        p = p if p >= parts and u > EXACT else 1 << _BIT
-        first.append(s), total.append(p), joined.append(p if p == 1 << _BIT else parts)
-        s = nxt
-    return np.array(first), np.array(total), np.array(joined), np.ones(len(first), np.int64)
-
-
-def chance(t: float = THRESHOLD, parts: int = PARTS) -> float:
-    """The greatest chance that a pair of similarity t is missed, of all bands that do not join all parts."""
-    first, total, joined, _ = _schemes(t, parts)
-    some = joined < total
-    low, high = first[:-1][some[:-1]], first[1:][some[:-1]] - 1
-    q = np.minimum(_equal(2 * low, total[:-1][some[:-1]], t), _equal(high * (1 + 1 / t), total[:-1][some[:-1]], t))
-    return float(((1 - q) ** parts).max())
+NGRAM, THRESHOLD = 3, 0.5
+SPARE, BATCH = 10, 1_000_000  # n-grams of a batch that is looked up at once
+BLOCK, SETS, TILE = 4_000_000, 16_384, 1024
+_KEY = np.uint64(8)  # keys are the upper 56 bits
 
 
 def text_sets(col: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, offsets): the sorted distinct n-gram hashes of each text."""
+    """(hashes of 52 bits, offsets): the sorted distinct n-gram hashes of each text."""
     w = Words(col)
     docs = len(w.off) - 1
     count = np.diff(w.off)
-    g = grams(w.hashes, n) if len(w.hashes) else w.hashes
+    g = (grams(w.hashes, n) if len(w.hashes) else w.hashes) >> np.uint64(12)
     doc = w.doc_of()
     place = np.arange(len(g)) - w.off[doc] if len(g) else np.zeros(0, np.int64)
     ok = place <= count[doc] - n
     few = np.flatnonzero((count > 0) & (count < n))
-    own = np.array([mix_int(int(np.bitwise_xor.reduce(mix(w.hashes[w.off[i] : w.off[i + 1]] + np.arange(count[i], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))) + int(count[i])) for i in few], np.uint64)
+    own = np.array([mix_int(int(np.bitwise_xor.reduce(mix(w.hashes[w.off[i] : w.off[i + 1]] + np.arange(count[i], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))) + int(count[i])) >> 12 for i in few], np.uint64)
     g, doc = np.concatenate([g[ok], own]), np.concatenate([doc[ok], few])
-    order = np.lexsort((g, doc))
-    g, doc = g[order], doc[order]
-    if len(g):
-        new = np.ones(len(g), bool)
-        new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
-        g, doc = g[new], doc[new]
-    return g, np.searchsorted(doc, np.arange(docs + 1))
+    if len(few):
+        order = np.argsort(doc, kind="stable")
+        g, doc = g[order], doc[order]
+    out, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for lo in range(0, docs, 4096):  # the text's number goes into the upper 12 bits
+        a, b = np.searchsorted(doc, [lo, lo + 4096])
+        x = ((doc[a:b] - lo).astype(np.uint64) << np.uint64(52)) | g[a:b]
+        x.sort()
+        x = x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+        sizes.append(np.bincount((x >> np.uint64(52)).astype(np.int64), minlength=min(4096, docs - lo)))
+        out.append(x & np.uint64((1 << 52) - 1))
+    return np.concatenate(out), np.r_[0, np.cumsum(np.concatenate(sizes))]
+
+
+def prints(g: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """A 64-bit fingerprint of each set, as a signed number."""
+    acc = np.zeros(len(g) + 1, np.uint64)
+    np.cumsum(mix(g + np.uint64(mix_int(0x51ED270B))), out=acc[1:])
+    return mix(acc[off[1:]] - acc[off[:-1]] + np.diff(off).astype(np.uint64)).view(np.int64)
+
+
+def prefixes(size: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+    """The odd bits that a set of each size needs as the larger and as the smaller one of a pair."""
+    large = size - np.ceil(t * size - 1e-9).astype(np.int64) + 1
+    small = size - np.ceil(2 * t / (1 + t) * size - 1e-9).astype(np.int64) + 1
+    return large, np.minimum(small, large)
+
+
+def _batches(batches, n: int, most: int = BATCH):
+    """(n-grams, offsets, fingerprints) of distinct sets, in batches of about `most` n-grams."""
+    held, size = [], 0
+
+    def joined():
+        g, count = np.concatenate([x for x, _ in held]), np.concatenate([np.diff(o) for _, o in held])
+        off = np.r_[0, np.cumsum(count)]
+        f = prints(g, off)
+        _, first = np.unique(f, return_index=True)
+        first = np.sort(first[count[first] > 0])
+        keep = np.zeros(len(f), bool)
+        keep[first] = True
+        return g[np.repeat(keep, count)], np.r_[0, np.cumsum(count[first])], f[first]
+
+    for batch in batches:
+        for part in slices(batch, "text"):
+            held.append(text_sets(part.column("text"), n))
+            size += len(held[-1][0])
+            if size >= most:
+                yield joined()
+                held, size = [], 0
+    if held:
+        yield joined()
+
+
+def _rows(n: int, kind: pa.DataType):
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                g, off = text_sets(part.column("text"), n)
+                yield pa.RecordBatch.from_arrays([part.column("id").cast(kind), part.column("h"), pa.array(np.diff(off)), pa.array(prints(g, off))], ["id", "h", "n", "f"])
 
+    return run
 
-def _print_of(g: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit fingerprints of each set."""
-    acc = np.zeros(len(g) + 1, np.uint64)
-    out = []
-    for salt in (0x51ED270B, 0xA24BAED4):
-        np.cumsum(mix(g + np.uint64(mix_int(salt))), out=acc[1:])
-        out.append(mix(acc[off[1:]] - acc[off[:-1]] + np.diff(off).astype(np.uint64)))
-    return out[0], out[1]
 
+def _frequent(texts: DataFrame, n: int, total: int) -> tuple[str, int, int]:
+    """(folder, parts, bits) of the table of the n-grams, by their first bits, of two or more texts; level: log2 of how many."""
+    bits = min(52, max(1, total).bit_length() + SPARE)
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, -(-total // 4_000_000))
+    at = folder(texts.sparkSession, "frequent")
+    cuts = bounds(parts, bits)
 
-def signatures(g: np.ndarray, off: np.ndarray, t: float, parts: int, first: np.ndarray, total: np.ndarray, joined: np.ndarray, least: np.ndarray, up: int, common: np.ndarray = np.zeros(0, np.uint64)) -> tuple[np.ndarray, np.ndarray]:
-    """(text, key) of each joined part under the scheme of the text's band (up=0) or of the band below (up=1); common: sorted."""
+    def count(batches):
+        for g, _, _ in _batches(batches, n, 2 * BATCH):
+            u, c = np.unique(g >> np.uint64(52 - bits), return_counts=True)
+            cut_at = np.r_[0, np.searchsorted(u, cuts), len(u)]
+            rows = [(p, pack(u[a:b]), pack_any(c[a:b] - 1)) for p, (a, b) in enumerate(zip(cut_at, cut_at[1:])) if a < b]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["part", "key", "count"])
+
+    def store(batches):
+        by: dict[int, list] = {}
+        for b in batches:
+            for p, k, c in zip(*(b.column(x).to_pylist() for x in ("part", "key", "count"))):
+                by.setdefault(p, []).append((k, c))
+        for p in sorted(by):
+            got = by.pop(p)
+            k = np.concatenate([unpack(x) for x, _ in got])
+            c = np.concatenate([unpack_any(x) for _, x in got]).astype(np.int64) + 1
+            k, place = sorted_with_places(k, bits)
+            head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+            c = np.add.reduceat(c[place], head)
+            often = c > 1
+            save(f"{at}/{p}", {"key": k[head][often], "level": np.log2(c[often]).astype(np.uint8)})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32())})
+
+    texts.mapInArrow(count, "part int, key binary, count binary").repartition(parts, F.col("part")).mapInArrow(store, "part int").collect()
+    return at, parts, bits
+
+
+def joined_bits(g: np.ndarray, off: np.ndarray, level: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(set, place of the n-gram, whether it serves the smaller side) of the bits to join on; level is 0 for n-grams of one text."""
     size = np.diff(off)
-    band = np.searchsorted(first, size, "right") - 1 - up
-    use = (size > 0) & (band >= 0)
-    band = np.where(use, band, 0)
+    large, small = prefixes(size, t)
     doc = np.repeat(np.arange(len(size)), size)
-    rare = ~(common[np.minimum(np.searchsorted(common, g), len(common) - 1)] == g) if len(common) else np.ones(len(g), bool)
-    whole = np.bincount(doc, ~rare, len(size)) >= (1 - RARE) * t * size - 1e-9
-    keep = use[doc]
-    g, doc, rare = g[keep], doc[keep], rare[keep]
-    b = band[doc]
-    every = joined == total
-    order = np.lexsort((g, ~rare, doc))
-    rank = np.empty(len(g), np.int64)
-    rank[order] = np.arange(len(g)) - np.searchsorted(doc, doc)
-    keep = ~every[b] | (rank < (size - np.ceil(t * size - 1e-9) + 1)[doc])
-    g, doc, rare, b = g[keep], doc[keep], rare[keep], b[keep]
-    at = (mix(g ^ (b.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))) % (total[b] << _BIT).astype(np.uint64)).astype(np.int64)
-    keep = at < joined[b] << _BIT
-    x, rare = (doc[keep].astype(np.int64) << 40) | at[keep], rare[keep]
-    if not len(x):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    order = np.argsort(x)
-    x, rare = x[order], rare[order]
-    head = np.flatnonzero(np.r_[True, x[1:] != x[:-1]])
-    odd = np.diff(np.r_[head, len(x)]) % 2 == 1
-    x, rare = x[head][odd], rare[head][odd]
-    if not len(x):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    part = x >> _BIT
-    head = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-    doc = x[head] >> 40
-    inside = (x & ((1 << 40) - 1)).astype(np.uint64)
-    bb = band[x >> 40].astype(np.uint64)
-    key = np.bitwise_xor.reduceat(mix(inside + (bb << np.uint64(44)) + np.uint64(12345)), head)
-    bits = np.diff(np.r_[head, len(x)])
-    ok = (bits >= least[band[doc]]) & (np.logical_or.reduceat(rare, head) | whole[doc] | every[band[doc]])
-    return doc[ok], mix(key[ok] + bb[head][ok])
-
-
-def common_grams(src: DataFrame, n: int) -> np.ndarray:
-    """Sorted hashes of the n-grams that are in COMMON or more of about SAMPLE texts."""
-
-    def count(batches):
+    alone = np.bincount(doc, level == 0, len(size)).astype(np.int64)
+    large, small = large - alone, small - alone
+    at = np.flatnonzero((level > 0) & (large[doc] > 0))
+    at = at[np.lexsort((g[at], level[at], doc[at]))]
+    d = doc[at]
+    rank = np.arange(len(at)) - np.searchsorted(d, d)
+    ok = rank < large[d]
+    return d[ok], at[ok], (rank < small[d])[ok]
+
+
+def bands(size: np.ndarray, t: float) -> np.ndarray:
+    """The size band of each set; sizes within the factor t are in one band or the next."""
+    return np.minimum(np.floor(np.log(np.maximum(size, 1)) / np.log(1 / t) + 1e-9), 255).astype(np.int64) if t < 1 else np.zeros(len(size), np.int64)
+
+
+def links(key: np.ndarray, band: np.ndarray, smaller: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges between `own` that tie all sets which share a key and may be a pair: in one band or the next, one as the smaller side."""
+    code = (key << np.uint64(8)) | band.astype(np.uint64)
+    heads, at = np.unique(code[smaller], return_index=True)
+    head_of = own[smaller][at]
+    a, b = [np.zeros(0, own.dtype)], [np.zeros(0, own.dtype)]
+    if len(heads):
+        for back in (0, 1):
+            x = code - np.uint64(back)
+            use = band >= back
+            i = np.minimum(np.searchsorted(heads, x), len(heads) - 1)
+            ok = use & (heads[i] == x)
+            a.append(own[ok]), b.append(head_of[i[ok]])
+    a, b = np.concatenate(a), np.concatenate(b)
+    return a[a != b], b[a != b]
+
+
+def _candidates(texts: DataFrame, n: int, t: float, how: tuple[str, int, int]) -> DataFrame:
+    """(a, b): edges that connect all pairs of similarity t, by fingerprint."""
+    at, table_parts, bits = how
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    cuts = bounds(parts, 56)
+
+    def emit(batches):
+        table = Lookup(at, table_parts, bits)
+        for g, off, f in _batches(batches, n):
+            if not len(f):
+                continue
+            q, place = sorted_with_places(g >> np.uint64(52 - bits), bits)
+            found, (lv,) = table.find(q, ["level"])
+            level = np.zeros(len(g), np.int64)
+            level[place] = np.where(found, np.maximum(lv, 1), 0)
+            d, i, smaller = joined_bits(g, off, level, t)
+            key = mix(g[i]) >> _KEY
+            band = bands(np.diff(off)[d], t)
+            a, b = links(key, band, smaller, d)
+            root = np.arange(len(f))
+            if len(a):
+                nodes, roots = forest(a, b)
+                root[nodes] = roots
+            # sets that are tied already stand for each other
+            own, info = f[root[d]], band.astype(np.uint64) << np.uint64(1) | smaller.astype(np.uint64)
+            order = np.lexsort((own, info, key))
+            key, own, info = key[order], own[order], info[order]
+            if len(key):
+                new = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (info[1:] != info[:-1])]
+                key, own, info = key[new], own[new], info[new]
+            ends = np.r_[0, np.searchsorted(key, cuts), len(key)]
+            rows = [(p, pack(key[x:y]), own[x:y].tobytes(), pack_any(info[x:y])) for p, (x, y) in enumerate(zip(ends, ends[1:])) if x < y]
+            tied = np.flatnonzero(root != np.arange(len(f)))
+            if len(tied):
+                rows.append((int(f[tied[0]] & 0x7FFFFFFF) % parts, f[tied].tobytes(), f[root[tied]].tobytes(), None))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "key", "own", "info"])
+
+    def tie(batches):
+        key, own, info, a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for batch in batches:
-            for part in slices(batch, "text"):
-                g, c = np.unique(text_sets(part.column("text"), n)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(c)], ["g", "c"])
+            for k, o, i in zip(*(batch.column(x).to_pylist() for x in ("key", "own", "info"))):
+                if i is None:
+                    a.append(np.frombuffer(k, np.int64)), b.append(np.frombuffer(o, np.int64))
+                else:
+                    key.append(unpack(k)), own.append(np.frombuffer(o, np.int64)), info.append(unpack_any(i))
+        key, own, info = np.concatenate(key), np.concatenate(own), np.concatenate(info)
+        x, y = links(key, (info >> np.uint64(1)).astype(np.int64), (info & np.uint64(1)).astype(bool), own)
+        nodes, roots = forest(np.concatenate([*a, x]), np.concatenate([*b, y]))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["a", "b"])
 
-    share = min(1.0, SAMPLE / max(1, src.count()))
-    sample = src.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(1_000_003 * share) + 1)
-    found = sample.mapInArrow(count, "g long, c long").groupBy("g").agg(F.sum("c").alias("c")).filter(F.col("c") >= COMMON).select("g").collect()
-    return np.sort(np.array([r.g for r in found], np.int64).view(np.uint64))
+    rows = texts.mapInArrow(emit, "part int, key binary, own binary, info binary").repartition(parts, F.col("part"))
+    return rows.mapInArrow(tie, "a long, b long")
 
 
-def _base(n: int, t: float, parts: int, common):
-    first, total, joined, least = _schemes(t, parts)
+def sketches(g: np.ndarray, off: np.ndarray, words: int) -> np.ndarray:
+    """Parity sketches of 64 * words bits, a row for each set."""
+    doc = np.repeat(np.arange(len(off) - 1), np.diff(off))
+    bits = np.bincount(doc * (64 * words) + (mix(g + np.uint64(77)) % np.uint64(64 * words)).astype(np.int64), minlength=(len(off) - 1) * 64 * words) & 1
+    return np.packbits(bits.astype(np.uint8).reshape(len(off) - 1, -1), axis=1).view(np.uint64)
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                g, off = text_sets(part.column("text"), n)
-                f1, f2 = _print_of(g, off)
-                size = np.diff(off)
-                keys, owner, role = [], [], []
-                for up in (0, 1):
-                    d, k = signatures(g, off, t, parts, first, total, joined, least, up, common.value)
-                    keys.append(k), owner.append(d), role.append(np.full(len(k), up, np.uint64))
-                owner, keys, role = map(np.concatenate, (owner, keys, role))
-                keys = (keys & ~np.uint64(1)) | role  # the last bit: from the band above
-                order = np.argsort(owner, kind="stable")
-                keys, owner = keys[order], owner[order]
-                ends = np.searchsorted(owner, np.arange(len(size) + 1)).astype(np.int32)
-                sig = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.view(np.int64)))
-                out = pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(size.astype(np.int32)), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)), sig], ["doc_id", "n", "f1", "f2", "sig"])
-                yield out.filter(pa.array(size > 0))
-
-    return run
 
-
-def _bucket_pairs(t: float):
+def _within(g: np.ndarray, off: np.ndarray, x: np.ndarray, y: np.ndarray, t: float, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of the pairs of similarity t between the sets x and the sets y (of x alone, i < j, where same)."""
+    size = np.diff(off)
+    words = max(1, min(128, int(4 * np.median(size)) // 64 + 1))
+    pairs = []
+    for xs in (x[i : i + TILE] for i in range(0, len(x), TILE)):
+        sx = None
+        for ys in (y[i : i + TILE] for i in range(0, len(y), TILE)):
+            if same and ys[-1] < xs[0]:
+                continue
+            nx, ny = size[xs][:, None], size[ys][None, :]
+            ok = np.minimum(nx, ny) >= t * np.maximum(nx, ny) - 1e-9
+            if same:
+                ok &= xs[:, None] < ys[None, :]
+            if not ok.any():
+                continue
+            if len(xs) > 4:
+                sx = _sketch_of(g, off, xs, words) if sx is None else sx
+                sy = _sketch_of(g, off, ys, words)
+                far = np.zeros(ok.shape, np.int64)
+                for k in range(words):
+                    far += np.bitwise_count(sx[:, k][:, None] ^ sy[:, k][None, :])
+                ok &= far <= (1 - t) / (1 + t) * (nx + ny) + 1e-9
+            i, j = np.nonzero(ok)
+            if not len(i):
+                continue
+            both = _shared(g, off, xs, ys, i, j)
+            good = both / (size[xs[i]] + size[ys[j]] - both) >= t
+            pairs.append((xs[i[good]], ys[j[good]]))
+    if not pairs:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(p) for p in zip(*pairs))
+
+
+def _of(g: np.ndarray, off: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n-grams, offsets) of some of the sets."""
+    size = np.diff(off)[which]
+    own = np.r_[0, np.cumsum(size)]
+    return g[np.repeat(off[which] - own[:-1], size) + np.arange(own[-1])], own
+
+
+def _sketch_of(g, off, which, words):
+    return sketches(*_of(g, off, which), words)
+
+
+def _shared(g, off, xs, ys, i, j) -> np.ndarray:
+    """How many n-grams each pair (xs[i], ys[j]) has in common: set by set for few pairs, else by products of indicator matrices."""
+    if len(i) <= 4 * (len(xs) + len(ys)):
+        out = np.empty(len(i), np.int64)
+        for k, (a, b) in enumerate(zip(xs[i].tolist(), ys[j].tolist())):
+            both = np.concatenate([g[off[a] : off[a + 1]], g[off[b] : off[b + 1]]])
+            both.sort()
+            out[k] = (both[1:] == both[:-1]).sum()
+        return out
+    gx, ox = _of(g, off, xs)
+    gy, oy = _of(g, off, ys)
+    u = np.intersect1d(gx, gy)
+    at = []
+    for gg, oo in ((gx, ox), (gy, oy)):
+        p = np.minimum(np.searchsorted(u, gg), max(len(u) - 1, 0))
+        ok = u[p] == gg if len(u) else np.zeros(len(gg), bool)
+        doc = np.repeat(np.arange(len(oo) - 1), np.diff(oo))
+        order = np.argsort(p[ok], kind="stable")
+        at.append((p[ok][order], doc[ok][order]))
+    total = np.zeros((len(xs), len(ys)), np.float32)
+    for lo in range(0, len(u), 2048):
+        m = []
+        for (p, doc), rows in zip(at, (len(xs), len(ys))):
+            a, b = np.searchsorted(p, [lo, lo + 2048])
+            one = np.zeros((rows, min(2048, len(u) - lo)), np.float32)
+            one[doc[a:b], p[a:b] - lo] = 1
+            m.append(one)
+        total += m[0] @ m[1].T
+    return np.rint(total[i, j]).astype(np.int64)
+
+
+def _compare(t: float):
     def run(batches):
-        got = [(b.column("key").to_numpy(), b.column("f1").to_numpy(), b.column("n").to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        key, cls, size = (np.concatenate(x) for x in zip(*got))
-        got.clear()
-        up = (key & 1).astype(bool)
-        key = key & ~np.int64(1)
-        order = np.lexsort((cls, key))
-        key, cls, size, up = key[order], cls[order], size[order], up[order]
-        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        ends = np.r_[head[1:], len(key)]
-        held, total = [], 0
-
-        def batch():
-            x = [np.concatenate(c) for c in zip(*held)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in x], ["a", "b", "cell"])
-
-        for i, j in zip(head[ends - head > 1], ends[ends - head > 1]):
-            own = np.flatnonzero(~up[i:j]) + i
-            blocks = np.uint64(-(-(j - i) // 512))
-            for lo in range(0, len(own), 1024):
-                a = own[lo : lo + 1024]
-                x, y = np.repeat(a, j - i), np.tile(np.arange(i, j), len(a))
-                small, big = np.minimum(size[x], size[y]), np.maximum(size[x], size[y])
-                # within a band each pair once; with the band above the other side is never `own`
-                ok = (cls[x] != cls[y]) & (up[y] | (cls[x] < cls[y])) & (small >= t * big - 1e-9)
-                x, y = x[ok], y[ok]
-                if not len(x):
-                    continue
-                lo_c, hi_c = np.minimum(cls[x], cls[y]), np.maximum(cls[x], cls[y])
-                cell = mix(np.uint64(key[i] & 0x7FFFFFFFFFFFFFFF) ^ (mix(lo_c.view(np.uint64)) % blocks << np.uint64(32)) ^ (mix(hi_c.view(np.uint64)) % blocks))
-                held.append((lo_c, hi_c, cell.view(np.int64)))
-                total += len(x)
-                if total > 200_000:
-                    yield batch()
-                    held, total = [], 0
+        def cell(rows):
+            side = np.array([r[1] for r in rows])
+            f, docs = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+            order = np.lexsort((f, side))
+            order = order[np.r_[True, (f[order][1:] != f[order][:-1]) | (side[order][1:] != side[order][:-1])]]
+            f, docs, side = f[order], docs[order], side[order]
+            sets = [np.frombuffer(rows[k][4], np.uint64) for k in order]
+            g, off = np.concatenate(sets), np.r_[0, np.cumsum([len(s) for s in sets])]
+            every = np.arange(len(f))
+            same = side[0] == 2  # a block with itself
+            i, j = _within(g, off, every if same else every[side == 0], every if same else every[side == 1], t, same)
+            if len(i):
+                found = np.bincount(i, docs[j], len(f)) + np.bincount(j, docs[i], len(f))
+                nodes, roots = forest(i, j)
+                yield pa.RecordBatch.from_arrays([pa.array(f[nodes]), pa.array(f[roots]), pa.array(found[nodes].astype(np.int64))], ["f", "root", "links"])
+
+        held, now = [], None
+        for b in batches:
+            for r in zip(*(b.column(c).to_pylist() for c in ("cell", "side", "f", "docs", "grams"))):
+                if r[0] != now and held:
+                    yield from cell(held)
+                    held = []
+                now = r[0]
+                held.append(r)
         if held:
-            yield batch()
+            yield from cell(held)
 
     return run
 
 
-def _set_rows(n: int):
+def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = NGRAM, t: float = THRESHOLD, block: int = BLOCK, sets: int = SETS) -> tuple[DataFrame, DataFrame]:
+    """(rows: id, h (of id and text), n, f; classes: f, docs, id (the least), links, root), f being the fingerprint of a set of n-grams.
+
+    links counts the documents of other sets that are similar; root is the least f of those that links connect.
+    """
+    kind = docs.schema[id_col].dataType
+    src = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL")
+    src = src.withColumn("h", F.xxhash64("id", "text"))
+    out = T.StructType([T.StructField("id", kind), T.StructField("h", T.LongType()), T.StructField("n", T.LongType()), T.StructField("f", T.LongType())])
+    rows = cut(src.mapInArrow(_rows(n, to_arrow_type(kind)), out))
+    classes = cut(rows.filter("n > 0").select("id", "f", "n").distinct().groupBy("f").agg(F.count("*").alias("docs"), F.min("id").alias("id"), F.first("n").alias("n")))
+    total = classes.agg(F.sum("n")).first()[0] or 0
+    texts = src.filter("text IS NOT NULL").select("text")
+    how = _frequent(texts, n, total)
+    group = cut(components(_candidates(texts, n, t, how)))
+    shutil.rmtree(how[0], ignore_errors=True)
+    member = classes.select("f", "docs", "n").join(group.select(F.col("node").alias("f"), "root"), "f")
+    size = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / F.lit(block)), F.ceil(F.count("*") / F.lit(sets))).alias("blocks"))
+    member = member.join(size, "root").select("f", "docs", "root", F.col("blocks").cast("bigint").alias("blocks"))
+    at, parts = write(member, "f", ["docs", "root", "blocks"])
+
+    def members(batches):
+        known = Lookup(at, parts)
+        for g, off, f in _batches(batches, n):
+            order = np.argsort(f.view(np.uint64))
+            found, (count, root, blocks) = known.find(f.view(np.uint64)[order], ["docs", "root", "blocks"])
+            for k in np.flatnonzero(found):
+                i, q = order[k], int(blocks[k])
+                own = int(mix(f[i : i + 1].view(np.uint64))[0] % np.uint64(q))
+                data = g[off[i] : off[i + 1]].tobytes()
+                other = np.arange(q)
+                cells = mix(mix(np.full(q, root[k]).view(np.uint64)) + (np.minimum(other, own) * q + np.maximum(other, own)).astype(np.uint64)).view(np.int64)
+                side = np.where(other == own, 2, other < own).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(side), pa.array(np.full(q, f[i])), pa.array(np.full(q, count[k])), pa.array([data] * q, pa.binary())], ["cell", "side", "f", "docs", "grams"])
+
+    cells = texts.mapInArrow(_few_batches(members), "cell long, side int, f long, docs long, grams binary").repartition("cell").sortWithinPartitions("cell")
+    found = cut(cells.mapInArrow(_compare(t), "f long, root long, links long"))
+    shutil.rmtree(at, ignore_errors=True)
+    tied = components(found.select(F.col("f").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("f"), "root")
+    count = found.groupBy("f").agg(F.sum("links").alias("links"))
+    return rows, classes.select("f", "docs", "id").join(count.join(tied, "f"), "f", "left").select("f", "docs", "id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "f").alias("root"))
+
+
+def _few_batches(make):
+    """The record batches of `make` in larger ones."""
+
     def run(batches):
-        for batch in batches:
-            for part in slices(batch, "text"):
-                g, off = text_sets(part.column("text"), n)
-                f1, _ = _print_of(g, off)
-                ok = f1.view(np.int64) == part.column("f1").to_numpy()
-                data = pa.Array.from_buffers(pa.large_binary(), len(off) - 1, [None, pa.py_buffer((off * 8).astype(np.int64)), pa.py_buffer(g)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("f1"), data], ["f1", "grams"]).filter(pa.array(ok))
+        held, size = [], 0
+        for b in make(batches):
+            held.append(b)
+            size += b.nbytes
+            if size > 4 << 20:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 
     return run
 
 
-def _verify(t: float):
-    def run(batches):
-        sets, a, b = {}, [], []
-        for batch in batches:
-            data = batch.column("grams")
-            is_set = data.is_valid().to_numpy(zero_copy_only=False)
-            cls = batch.column("a").to_numpy()
-            for i in np.flatnonzero(is_set):
-                sets[int(cls[i])] = np.frombuffer(data[int(i)].as_py(), np.uint64)
-            if not is_set.all():
-                pair = batch.filter(pa.array(~is_set))
-                a.append(pair.column("a").to_numpy())
-                b.append(pair.column("b").to_numpy())
-        if not a:
-            return
-        a, b = np.concatenate(a), np.concatenate(b)
-        order = np.argsort(a, kind="stable")
-        a, b = a[order], b[order]
-        j = np.zeros(len(a))
-        for i, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
-            x, y = sets[x], sets[y]
-            both = np.concatenate([x, y])
-            both.sort()
-            same = int((both[1:] == both[:-1]).sum())
-            j[i] = same / (len(both) - same)
-        ok = j >= t
-        yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(j[ok])], ["a", "b", "jaccard"])
+def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = NGRAM, t: float = THRESHOLD, **how) -> DataFrame:
+    """(doc_id, class_id, links), a row for each document.
 
-    return run
+    links is the number of other documents whose similarity is t or more; class_id is the least id of
+    those that links connect with the document, its own where there are none.
+    """
+    rows, classes = linked(docs, id_col, text, n, t, **how)
+    least = classes.groupBy("root").agg(F.min("id").alias("class_id"))
+    info = classes.join(least, "root").select("f", "class_id", (F.col("links") + F.col("docs") - 1).alias("links"))
+    got = rows.select("id", "n", "f").distinct().join(info, "f", "left").select(F.col("id"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return got.withColumnRenamed("id", "doc_id")
 
 
-def classes_and_pairs(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = NGRAM, t: float = THRESHOLD, parts: int = PARTS) -> tuple[DataFrame, DataFrame]:
-    """classes (f1, doc_id: least id, ids: sorted list) and the verified pairs (a, b, jaccard) of distinct classes by f1."""
-    src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    common = src.sparkSession.sparkContext.broadcast(common_grams(src, n))
-    base = src.mapInArrow(_base(n, t, parts, common), "doc_id long, n int, f1 long, f2 long, sig array<long>")
-    classes = cut(base.groupBy("f1", "f2").agg(F.array_sort(F.collect_set("doc_id")).alias("ids"), F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    sig = classes.select("f1", "n", F.explode("sig").alias("key")).repartition(F.shiftright("key", 1))
-    found = sig.mapInArrow(_bucket_pairs(t), "a long, b long, cell long").groupBy("a", "b").agg(F.min("cell").alias("cell"))
-    found = cut(found)
-    need = found.select("cell", F.col("a").alias("f1")).union(found.select("cell", F.col("b").alias("f1"))).distinct()
-    reps = need.select("f1").distinct().join(classes.select("f1", "doc_id"), "f1")
-    sets = src.join(reps, "doc_id").select("f1", "text").mapInArrow(_set_rows(n), "f1 long, grams binary")
-    rows = need.join(sets, "f1").select("cell", F.col("f1").alias("a"), F.lit(None).cast("long").alias("b"), "grams")
-    rows = rows.union(found.select("cell", "a", "b", F.lit(None).cast("binary"))).repartition("cell")
-    pairs = rows.drop("cell").mapInArrow(_verify(t), "a long, b long, jaccard double")
-    return classes.select("f1", "doc_id", "ids"), pairs
-
-
-def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = NGRAM, t: float = THRESHOLD, parts: int = PARTS) -> DataFrame:
-    """(doc_a, doc_b, jaccard, ids_a, ids_b): every document of ids_a has that similarity with every one of ids_b.
-
-    doc_a and doc_b are the least ids of the lists, doc_a the smaller. A class of several documents
-    is a row with itself, of similarity 1.
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = NGRAM, t: float = THRESHOLD, **how) -> DataFrame:
+    """docs, but of the documents that links connect only the one of the least id.
+
+    Where that id has several sets of the group, all of its rows in it stay; rows repeated under one id
+    stay as they are, and so do rows with null ids.
     """
-    classes, pairs = classes_and_pairs(docs, id_col, text, n, t, parts)
-    one = classes.select(F.col("f1").alias("a"), F.col("doc_id").alias("doc_1"), F.col("ids").alias("ids_1"))
-    two = classes.select(F.col("f1").alias("b"), F.col("doc_id").alias("doc_2"), F.col("ids").alias("ids_2"))
-    near = pairs.join(one, "a").join(two, "b").filter("doc_1 <> doc_2")
-    near = near.select(F.least("doc_1", "doc_2").alias("doc_a"), F.greatest("doc_1", "doc_2").alias("doc_b"), F.round("jaccard", 6).alias("jaccard"), F.when(F.expr("doc_1 < doc_2"), F.col("ids_1")).otherwise(F.col("ids_2")).alias("ids_a"), F.when(F.expr("doc_1 < doc_2"), F.col("ids_2")).otherwise(F.col("ids_1")).alias("ids_b"))
-    same = classes.filter("size(ids) > 1").select(F.col("doc_id").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"), F.col("ids").alias("ids_a"), F.col("ids").alias("ids_b"))
-    return near.union(same)
+    rows, classes = linked(docs, id_col, text, n, t, **how)
+    least = classes.groupBy("root").agg(F.min("id").alias("least"), F.sum("docs").alias("size")).filter("size > 1")
+    keep = classes.join(least, "root").select("f", "least")
+    gone = rows.filter("n > 0").join(keep, "f").filter("id <> least").select("h").distinct()
+    at, parts = write(gone, "h", [])
+    tag = "h"
+    while tag in docs.columns:
+        tag += "_"
+    schema = docs.schema
 
+    def run(batches):
+        known = Lookup(at, parts)
+        for b in batches:
+            h = b.column(tag).to_numpy().view(np.uint64)
+            order = np.argsort(h)
+            drop = np.zeros(len(h), bool)
+            drop[order], _ = known.find(h[order], [])
+            yield b.drop_columns([tag]).filter(pa.array(~drop))
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = NGRAM, t: float = THRESHOLD, parts: int = PARTS) -> DataFrame:
-    """docs without all but the least id of each group of documents that pairs connect; rows repeated under one id stay as they are."""
-    classes, pairs = classes_and_pairs(docs, id_col, text, n, t, parts)
-    group = components(pairs.select("a", "b"))
-    member = classes.join(group.withColumnRenamed("node", "f1"), "f1", "left").select(F.coalesce("root", "f1").alias("root"), F.explode("ids").alias("id"))
-    least = member.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("size"))
-    drop = member.join(least.filter("size > 1"), "root").filter("id > least").select(F.col("id").alias("__drop")).distinct()
-    return docs.join(drop, F.col(id_col).cast("bigint") == F.col("__drop"), "left_anti")
+    # a null id never hashes to what was dropped: it is left out by the flag below
+    hashed = docs.withColumn(tag, F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.col(text))).otherwise(F.lit(0)))
+    return hashed.mapInArrow(run, schema)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
@@ -325,11 +480,11 @@ def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 ORACLE = rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9_\x{{80}}-\x{{10FFFF}}]+') AS ws FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
-s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= {NGRAM} THEN list_transform(range(1, len(ws) - {NGRAM} + 2), lambda i: array_to_string(ws[i:i + {NGRAM - 1}], ' ')) ELSE [array_to_string(ws, ' ')] END)) AS gs FROM w WHERE len(ws) > 0),
-c AS (SELECT gs, list_sort(list(DISTINCT doc_id)) AS ids, min(doc_id) AS doc_id FROM s GROUP BY gs),
-u AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS g FROM c),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS j FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
-SELECT x AS doc_a, y AS doc_b, round(j, 6) AS jaccard, a.ids AS ids_a, b.ids AS ids_b FROM p JOIN c a ON a.doc_id = x JOIN c b ON b.doc_id = y WHERE j >= {THRESHOLD}
-UNION ALL SELECT doc_id, doc_id, 1.0, ids, ids FROM c WHERE len(ids) > 1
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[a-z0-9_\x{{80}}-\x{{10FFFF}}]+'), []) AS ws FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, list_sort(list_distinct(CASE WHEN len(ws) >= {NGRAM} THEN list_transform(range(1, len(ws) - {NGRAM} + 2), lambda i: array_to_string(ws[i:i + {NGRAM - 1}], ' ')) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END)) AS gs FROM w),
+d AS MATERIALIZED (SELECT row_number() OVER () AS k, doc_id, gs FROM s),
+u AS (SELECT k, len(gs) AS n, unnest(gs) AS g FROM d),
+p AS MATERIALIZED (SELECT a.k AS x, b.k AS y FROM u a JOIN u b ON a.g = b.g AND a.k <> b.k GROUP BY a.k, b.k HAVING count(*) >= {THRESHOLD} * (any_value(a.n) + any_value(b.n) - count(*))),
+r(k, doc_id) AS (SELECT k, doc_id FROM d UNION SELECT p.y, r.doc_id FROM r JOIN p ON p.x = r.k)
+SELECT d.doc_id, (SELECT min(r.doc_id) FROM r WHERE r.k = d.k) AS class_id, (SELECT count(*) FROM p WHERE p.x = d.k) AS links FROM d
 """

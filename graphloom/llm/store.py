@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,6 +35,13 @@ def local_path(uri: str) -> str:
     return uri[5:] if uri.startswith("file:") and not uri.startswith("file://") else uri[7:] if uri.startswith("file://") else uri
 
 
+def mounted(uri: str) -> str:
+    """uri as a plain path; only folders that every machine mounts will do, as tasks map files in them."""
+    if re.match(r"(?!file:)[A-Za-z][A-Za-z0-9+.-]*:", uri):
+        raise ValueError(f"{uri} is no mounted folder; spark.checkpoint.dir must be one for this operator")
+    return local_path(uri)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

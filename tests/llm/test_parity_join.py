@@ -26,14 +26,28 @@ def brute(rows, n, t):
     return out
 
 
-def expand(df):
-    out = {}
-    for r in df.collect():
-        for a in r.ids_a:
-            for b in r.ids_b:
-                if a != b:
-                    out[min(a, b), max(a, b)] = r.jaccard
-    return out
+def brute_rows(rows, n, t):
+    """(id, class, links) of each document, from all pairs."""
+    docs = set()
+    for i, text in rows:
+        if i is not None:
+            w = re.findall(r"[a-z0-9_\x80-\U0010ffff]+", (text or "").lower())
+            docs.add((i, frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])))
+    docs = list(docs)
+    near = [[j for j, (_, b) in enumerate(docs) if j != i and a and b and len(a & b) >= t * len(a | b)] for i, (_, a) in enumerate(docs)]
+    out = []
+    for i in range(len(docs)):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j), todo.append(j)
+        out.append((docs[i][0], min(docs[j][0] for j in seen), len(near[i])))
+    return sorted(out)
+
+
+def got_rows(df):
+    return sorted((r.doc_id, r.class_id, r.links) for r in df.collect())
 
 
 def corpus(seed=3, docs=120):
@@ -54,44 +68,73 @@ def corpus(seed=3, docs=120):
     return rows
 
 
-def test_join_against_brute_force(spark):
-    rows = corpus()
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumnsRenamed({})
-    for t in (0.5, 0.8):
-        got, want = expand(P.join(df, t=t)), brute(rows, 3, t)
-        assert set(got) <= set(want)
-        assert len(got) >= 0.97 * len(want) > 20
-        assert all(got[k] == want[k] for k in got)
+@pytest.mark.parametrize("t, block, sets", [(0.5, P.BLOCK, P.SETS), (0.8, P.BLOCK, P.SETS), (0.5, 300, 3), (0.3, P.BLOCK, P.SETS)])
+def test_join_against_brute_force(spark, t, block, sets):
+    """Every link is found; small blocks make groups of copies span many cells."""
+    rows = corpus() + [(7000, "one text under two ids"), (7001, "One text, under two ids"), (7000, "another text of that id, a long one")]
+    got = got_rows(P.join(spark.createDataFrame(rows, "doc_id long, text string"), t=t, block=block, sets=sets))
+    want = brute_rows(rows, 3, t)
+    assert got == want and sum(n > 0 for *_, n in want) > 60
+
+
+def test_large_group_of_near_copies(spark):
+    """A third of all rows: copies of one text, each with some words changed, and exact copies."""
+    rnd = random.Random(12)
+    vocab = [f"v{k}" for k in range(300)]
+    base = rnd.choices(vocab, k=60)
+    rows = [(i, " ".join(rnd.choices(vocab, k=rnd.choice([5, 40, 100])))) for i in range(200)]
+    for i in range(60):
+        w = list(base)
+        for _ in range(rnd.choice([0, 0, 1, 2, 4])):
+            w[rnd.randrange(60)] = rnd.choice(vocab)
+        rows.append((1000 + i, " ".join(w)))
+    rows += [(2000 + i, " ".join(base)) for i in range(40)]
+    for how in ({}, {"block": 500}):
+        assert got_rows(P.join(spark.createDataFrame(rows, "doc_id long, text string"), **how)) == brute_rows(rows, 3, 0.5)
+
+
+def test_pairs_at_the_threshold(spark):
+    """One set within the other of twice its size, at and next to similarity 0.5, from 1 to 600 n-grams."""
+    rows, i = [], 0
+    for n in [1, 2, 3, 7, 20, 62, 63, 64, 126, 300]:
+        for extra in (-1, 0, 1):
+            w = [f"a{n}x{extra}x{k}" for k in range(2 * n + extra + 2)]
+            rows += [(i, " ".join(w)), (i + 1, " ".join(w[: n + 2]))]
+            i += 2
+    got = got_rows(P.join(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert got == brute_rows(rows, 3, 0.5) and sum(n for *_, n in got) == 2 * 20
+
+
+def test_other_ids_and_long_text(spark):
+    long = " ".join(f"k{k % 5000}" for k in range(120_000))
+    rows = [("b", long), ("a", long + " more"), ("c", "k1 k2 k3"), ("d", None)]
+    assert got_rows(P.join(spark.createDataFrame(rows, "doc_id string, text string"))) == [("a", "a", 1), ("b", "a", 1), ("c", "c", 0), ("d", "d", 0)]
 
 
 def test_empty_and_extra_columns(spark):
-    empty = spark.createDataFrame([], "doc_id long, text string, n int, f1 string, key int")
-    assert P.join(empty).count() == 0 and P.one_of_each(empty).columns == empty.columns
-    df = spark.createDataFrame([(3, "a b c d e f", 1, "x", 2), (2, "a b c d e f", 1, "y", 2), (None, "a b c d e f", 0, "z", 1), (5, None, 0, "q", 1)], empty.schema)
-    assert sorted(r.f1 for r in P.one_of_each(df).collect()) == ["q", "y", "z"]
+    empty = spark.createDataFrame([], "doc_id long, text string, n int, f string, key int, h string, __drop int, links int, class_id int, root int")
+    assert P.join(empty).count() == 0 and P.one_of_each(empty).count() == 0 and P.one_of_each(empty).columns == empty.columns
+    rest = (1, 1, 1, 1)
+    df = spark.createDataFrame([(3, "a b c d e f", 1, "x", 2, "1", *rest), (2, "a b c d e f", 1, "y", 2, "1", *rest), (None, "a b c d e f", 0, "z", 1, "1", *rest), (5, None, 0, "q", 1, "1", *rest)], empty.schema)
+    assert sorted(r.f for r in P.one_of_each(df).collect()) == ["q", "y", "z"]
     assert P.one_of_each(df).columns == df.columns
 
 
-def test_one_of_each_keeps_one_per_component(spark):
+def test_one_of_each_keeps_one_per_group(spark):
     rows = corpus(5)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    parent = {i: i for i, _ in rows}
+    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in P.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    first = {i for i, c, _ in brute_rows(rows, 3, 0.5) if i == c}
+    assert kept == sorted((i is None, i or 0) for i, _ in rows if i is None or i in first)
+    assert len(kept) < len(rows) - 40
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in expand(P.join(df)):
-        x, y = find(a), find(b)
-        parent[max(x, y)] = min(x, y)
-    assert len({find(i) for i in parent if i is not None}) < len(parent) - 40
-    kept = sorted((r.doc_id is None, r.doc_id or 0) for r in P.one_of_each(df).collect())
-    assert kept == sorted((i is None, i or 0) for i, _ in rows if i is None or find(i) == i)
+def test_one_of_each_keeps_the_other_text_of_an_id(spark):
+    rows = [(1, "one two three four"), (5, "one two three four"), (5, "quite another text here")]
+    got = P.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(tuple(r) for r in got) == [rows[0], rows[2]]
 
 
-@pytest.mark.parametrize("one_task", [10**6, 0])
-def test_components(spark, one_task):
+def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(7, 7), (1000 + 3, 1000), *[(2000 + i, 2001 + i) for i in range(40)]]
     parent = {x: x for e in edges for x in e}
@@ -104,48 +147,39 @@ def test_components(spark, one_task):
     for a, b in edges:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long"), one_task).collect()}
-    assert got == {x: find(x) for x in parent}
+    df = spark.createDataFrame(edges, "a long, b long")
+    for parts in (1, 40):
+        got = {r.node: r.root for r in components(df.repartition(parts)).collect()}
+        assert got == {x: find(x) for x in parent}
+    assert components(df.limit(0)).count() == 0
 
 
 def test_sketch_distance_bounds_difference():
     rnd = np.random.default_rng(0)
-    first, total, joined, least = P._schemes(0.5, 48)
-    assert (np.diff(first) > 0).all() and (joined <= total).all()
-    sets = [np.unique(rnd.integers(0, 1 << 63, k).astype(np.uint64)) for k in (5, 40, 700)]
-    for s in sets:
-        off = np.array([0, len(s), 2 * len(s)])
-        d, k = P.signatures(np.concatenate([s, s]), off, 0.5, 48, first, total, joined, least, 0)
-        assert sorted(k[d == 0]) == sorted(k[d == 1]) and len(k)
-
-
-@pytest.mark.parametrize("small, big", [(62, 124), (62, 110), (62, 62), (126, 252), (254, 508), (1022, 2044)])
-@pytest.mark.parametrize("often", [False, True])
-def test_pairs_at_the_threshold_share_a_part(small, big, often):
-    """The worst pairs of a band: one set within the other, the first at its top; a quarter of the shared n-grams common."""
-    rnd = np.random.default_rng(small + big)
-    scheme = P._schemes(0.5, P.PARTS)
-    missed = 0
-    for _ in range(300):
-        b = rnd.integers(0, 1 << 63, big).astype(np.uint64)
-        shared = small if big > small else -(-2 * small // 3)
-        a = np.r_[b[:shared], rnd.integers(0, 1 << 63, small - shared).astype(np.uint64)]
-        common = np.sort(b[: shared // 4]) if often else np.zeros(0, np.uint64)
-        bands = np.searchsorted(scheme[0], [small, big], "right")
-        (_, x), (_, y) = (P.signatures(np.sort(s), np.array([0, len(s)]), 0.5, P.PARTS, *scheme, up, common) for s, up in ((a, 0), (b, int(bands[1] - bands[0]))))
-        missed += not np.isin(x, y).any()
-    assert missed == 0
-
-
-def test_pairs_that_share_mostly_common_grams():
-    rnd = np.random.default_rng(4)
-    scheme = P._schemes(0.5, P.PARTS)
-    for _ in range(200):
-        b = rnd.integers(0, 1 << 63, 252).astype(np.uint64)
-        common = np.sort(b[:40])  # more than a quarter of the 126 shared ones
-        (_, x), (_, y) = (P.signatures(np.sort(s), np.array([0, len(s)]), 0.5, P.PARTS, *scheme, up, common) for s, up in ((b[:126], 0), (b, 1)))
-        assert np.isin(x, y).any()
-
-
-def test_chance_of_a_miss():
-    assert P.chance(0.5, 48) < 1e-4 and P.chance(0.8, 48) < 1e-4
+    for size, change in ((5, 2), (60, 10), (700, 300)):
+        a = np.unique(rnd.integers(0, 1 << 52, size).astype(np.uint64))
+        b = np.unique(np.r_[a[change:], rnd.integers(0, 1 << 52, change).astype(np.uint64)])
+        s = P.sketches(np.r_[a, b], np.array([0, len(a), len(a) + len(b)]), 8)
+        far = int(np.bitwise_count(s[0] ^ s[1]).sum())
+        assert 0 < far <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("t", [0.3, 0.5, 0.8])
+def test_similar_sets_share_a_joined_bit(t):
+    """Any two sets of similarity t, under any levels, share a bit that serves the smaller one."""
+    rnd = np.random.default_rng(int(t * 10))
+    for _ in range(400):
+        n = int(rnd.integers(1, 80))
+        m = int(rnd.integers(n, int(n / t) + 1))
+        both = int(np.ceil(t / (1 + t) * (n + m) - 1e-9))
+        if both > n:
+            continue
+        a = np.unique(rnd.integers(0, 1 << 52, n + m).astype(np.uint64))[: n + m - both]
+        rnd.shuffle(a)
+        x, y = np.sort(a[:n]), np.sort(a[n - both : n - both + m])
+        level_of = {int(v): int(rnd.integers(1, 4)) for v in np.intersect1d(x, y)} | {}
+        level = np.array([level_of.get(int(v), int(rnd.integers(0, 2)) * 0) for v in np.r_[x, y]])
+        d, i, smaller = P.joined_bits(np.r_[x, y], np.array([0, n, n + m]), level, t)
+        g = np.r_[x, y][i]
+        assert np.isin(g[(d == 0) & smaller], g[d == 1]).any()
+        assert abs(P.bands(np.array([n]), t)[0] - P.bands(np.array([m]), t)[0]) <= 1
