@@ -51,7 +51,7 @@ from .text import Words, grams, mix, mix_int, slices
 
 NGRAM, THRESHOLD = 3, 0.5
 SPARE, BATCH = 10, 1_000_000  # n-grams of a batch that is looked up at once
-BLOCK, SETS, TILE = 4_000_000, 16_384, 1024
+BLOCK, SETS, TILE = 1_500_000, 8192, 1024
 _KEY = np.uint64(8)  # keys are the upper 56 bits
 
 
@@ -133,12 +133,12 @@ def _rows(n: int, kind: pa.DataType):
 def _frequent(texts: DataFrame, n: int, total: int) -> tuple[str, int, int]:
     """(folder, parts, bits) of the table of the n-grams, by their first bits, of two or more texts; level: log2 of how many."""
     bits = min(52, max(1, total).bit_length() + SPARE)
-    parts = max(texts.sparkSession.sparkContext.defaultParallelism, -(-total // 4_000_000))
+    parts = max(texts.sparkSession.sparkContext.defaultParallelism, -(-total // 2_000_000))
     at = folder(texts.sparkSession, "frequent")
     cuts = bounds(parts, bits)
 
     def count(batches):
-        for g, _, _ in _batches(batches, n, 2 * BATCH):
+        for g, _, _ in _batches(batches, n):
             u, c = np.unique(g >> np.uint64(52 - bits), return_counts=True)
             cut_at = np.r_[0, np.searchsorted(u, cuts), len(u)]
             rows = [(p, pack(u[a:b]), pack_any(c[a:b] - 1)) for p, (a, b) in enumerate(zip(cut_at, cut_at[1:])) if a < b]
