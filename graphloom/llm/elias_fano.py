@@ -6,60 +6,71 @@ import json
 
 import numpy as np
 
-_ONE = np.uint64(1)
-_STEPS = [(np.uint64(s), np.uint64((1 << s) - 1)) for s in (32, 16, 8, 4, 2, 1)]
+_FULL = ~np.uint64(0)
+_L1, _L2, _L4, _BYTES, _TOPS = (np.uint64(int(x * 8, 16)) for x in ("55", "33", "0f", "01", "80"))
+_U = [np.uint64(i) for i in range(65)]
+#: _SET_BIT[byte * 8 + r]: place of set bit number r of the byte
+_SET_BIT = np.array([([i for i in range(8) if x >> i & 1] + [0] * 8)[:8] for x in range(256)], np.int64).ravel()
 
 
 def _in_word(w: np.ndarray, r: np.ndarray) -> np.ndarray:
     """Place of set bit number r of each word."""
-    at = np.zeros(len(w), np.int64)
-    r = r.copy()
-    for s, mask in _STEPS:
-        c = np.bitwise_count(w & mask).astype(np.int64)
-        go = r >= c
-        r -= np.where(go, c, 0)
-        w = np.where(go, w >> s, w)
-        at += np.where(go, int(s), 0)
-    return at
+    s = w - ((w >> _U[1]) & _L1)
+    s = (s & _L2) + ((s >> _U[2]) & _L2)
+    upto = ((s + (s >> _U[4])) & _L4) * _BYTES  # in each byte the set bits up to it
+    r = r.astype(np.uint64)
+    byte = np.bitwise_count((((r * _BYTES) | _TOPS) - upto) & _TOPS).astype(np.uint64) << _U[3]
+    before = ((upto << _U[8]) >> byte) & np.uint64(255)
+    return byte.astype(np.int64) + _SET_BIT[(((w >> byte) & np.uint64(255)) << _U[3] | (r - before)).astype(np.int64)]
 
 
 class EliasFano:
-    """Non-decreasing integers: low bits in a byte-wide array, high bits in unary.
-
-    Low bits are rounded up to 8, 16 or 32, so a run of one high part may hold many elements; a
-    binary search over their low bits finds the successor in it.
-    """
+    """Non-decreasing integers: l low bits of each packed, high bits in unary; l is the one of least size."""
 
     def __init__(self, part: dict[str, np.ndarray], name: str):
         self.low, self.bits, self.ones, self.zeros = (part[f"{name}.{x}"] for x in ("low", "bits", "ones", "zeros"))
-        self.n, self.l = len(self.low) if len(self.low) else int(part[f"{name}.size"][0]), int(part[f"{name}.size"][1])
-        self.top, self.one_step, self.zero_step = (int(x) for x in part[f"{name}.size"][2:])
+        self.n, self.l, self.top = (int(x) for x in part[f"{name}.size"])
+        self.mask = np.uint64((1 << self.l) - 1)
 
     @staticmethod
     def parts(values: np.ndarray, name: str) -> dict[str, np.ndarray]:
         values = np.asarray(values).astype(np.uint64)
         n = len(values)
         top = int(values[-1]) if n else 0
-        want = max(0, (top // max(n, 1)).bit_length())
-        bits = next(x for x in (0, 8, 16, 32, 64) if x >= want)
-        low = values.astype({8: np.uint8, 16: np.uint16, 32: np.uint32, 64: np.uint64}[bits]) if bits else np.zeros(0, np.uint8)
-        high = (values >> np.uint64(bits)).astype(np.int64) if bits < 64 else np.zeros(n, np.int64)
+        l = max(0, (top // max(n, 1)).bit_length() - 1)  # noqa: E741
+        # 64 values fill l words
+        rows = -(-n // 64)
+        low = np.zeros((rows, l + 1), np.uint64)
+        v = np.zeros(rows * 64, np.uint64)
+        v[:n] = values & np.uint64((1 << l) - 1)
+        v = v.reshape(rows, 64)
+        for j in range(64 if l else 0):
+            word, shift = divmod(j * l, 64)
+            low[:, word] |= v[:, j] << np.uint64(shift)
+            if shift + l > 64:
+                low[:, word + 1] |= v[:, j] >> np.uint64(64 - shift)
+        low = np.r_[np.ascontiguousarray(low[:, :l]).ravel(), np.zeros(1, np.uint64)]
+        high = (values >> np.uint64(l)).astype(np.int64)
         at = high + np.arange(n)
         size = (int(high[-1]) if n else 0) + n + 1
-        flags = np.zeros(-(-size // 64) * 64 + 64, np.uint8)
+        flags = np.zeros((-(-size // 256) + 1) * 256, np.uint8)
         flags[at] = 1
-        zeros = np.flatnonzero(flags[:size] == 0)
-        # about 64 bits from a sampled place to the next
-        one_step, zero_step = (max(1, 64 * k // size) for k in (n, len(zeros)))
-        return {f"{name}.low": low, f"{name}.bits": np.packbits(flags, bitorder="little").view(np.uint64), f"{name}.ones": at[::one_step].astype(np.int64), f"{name}.zeros": zeros[::zero_step].astype(np.int64), f"{name}.size": np.array([n, bits, int(high[-1]) if n else -1, one_step, zero_step], np.int64)}
-
-    def _select(self, k: np.ndarray, sample: np.ndarray, every: int, flip: np.uint64) -> np.ndarray:
-        if every == 1:
-            return sample[k]
-        p = sample[k // every]
-        r = k % every
-        word = p >> 6
-        w = (self.bits[word] ^ flip) & (~np.uint64(0) << (p & 63).astype(np.uint64))
+        bits = np.packbits(flags, bitorder="little").view(np.uint64)
+        # set and clear bits before each block of four words
+        ones = np.r_[0, np.cumsum(np.bitwise_count(bits).reshape(-1, 4).sum(1, dtype=np.int64))][:-1]
+        return {f"{name}.low": low, f"{name}.bits": bits, f"{name}.ones": ones, f"{name}.zeros": np.arange(len(ones)) * 256 - ones, f"{name}.size": np.array([n, l, int(high[-1]) if n else -1], np.int64)}
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        p = i * self.l
+        word, shift = p >> 6, (p & 63).astype(np.uint64)
+        return ((self.low[word] >> shift) | (self.low[word + 1] << (_U[64] - shift))) & self.mask
+
+    def _select(self, k: np.ndarray, before: np.ndarray, flip: np.uint64) -> np.ndarray:
+        """Place of set bit number k (of clear bit number k where flip is all ones)."""
+        block = np.searchsorted(before, k, "right") - 1
+        r = k - before[block]
+        word = block << 2
+        w = self.bits[word] ^ flip
         c = np.bitwise_count(w).astype(np.int64)
         more = np.flatnonzero(r >= c)
         while len(more):
@@ -70,33 +81,75 @@ class EliasFano:
             more = more[r[more] >= c[more]]
         return (word << 6) + _in_word(w, r)
 
+    def _after(self, p: np.ndarray, flip: np.uint64) -> np.ndarray:
+        """Place of the first set (clear) bit after place p; p may be -1."""
+        p = p + 1
+        word = p >> 6
+        w = (self.bits[word] ^ flip) & (_FULL << (p & 63).astype(np.uint64))
+        more = np.flatnonzero(w == 0)
+        if len(more):
+            word[more] += 1
+            w[more] = self.bits[word[more]] ^ flip
+            more = more[w[more] == 0]
+        if len(more):  # the run may be long, so not word by word
+            before = self.zeros if flip else self.ones
+            block = word[more] >> 2
+            inside = np.zeros(len(more), np.int64)
+            for j in range(4):
+                x = (block << 2) + j
+                inside += np.where(x < word[more], np.bitwise_count(self.bits[x] ^ flip).astype(np.int64), 0)
+            return self._patched(p, word, w, more, before[block] + inside, before, flip)
+        return (word << 6) + np.bitwise_count((w & (~w + _U[1])) - _U[1]).astype(np.int64)
+
+    def _patched(self, p, word, w, more, number, before, flip):
+        """Places as _after gives them, those of `more` by the number of the bit sought."""
+        w[more] = _U[1]
+        out = (word << 6) + np.bitwise_count((w & (~w + _U[1])) - _U[1]).astype(np.int64)
+        last = before[-1] + int(np.bitwise_count(self.bits[-4:] ^ flip).sum())
+        out[more] = np.where(number < last, self._select(np.minimum(number, last - 1), before, flip), len(self.bits) << 6)
+        return out
+
     def get(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
-        high = self._select(i.copy(), self.ones, self.one_step, np.uint64(0)) - i
-        return high if not self.l else self.low[i].astype(np.int64) if self.l == 64 else (high << self.l) | self.low[i].astype(np.int64)
-
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """Place of the first element that is v or more (n where none is)."""
-        high = v >> self.l if self.l < 64 else np.zeros(len(v), np.int64)
+        high = self._select(i, self.ones, np.uint64(0)) - i
+        return (high << self.l) | self._low(i).astype(np.int64) if self.l else high
+
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at places i and i + 1."""
+        p = self._select(i, self.ones, np.uint64(0))
+        q = self._after(p, np.uint64(0))
+        a, b = p - i, q - i - 1
+        return ((a << self.l) | self._low(i).astype(np.int64), (b << self.l) | self._low(i + 1).astype(np.int64)) if self.l else (a, b)
+
+    def locate(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place of the first element that is v or more, n where none is; whether it is v)."""
+        none = np.zeros(len(v), bool)
+        if self.top < 0:
+            return np.zeros(len(v), np.int64), none
+        high = v >> self.l
         inside = high <= self.top
         h = np.where(inside, high, 0)
-        if self.top < 0:
-            return np.zeros(len(v), np.int64)
-        begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, self.zero_step, ~np.uint64(0)) - (h - 1), 0)
-        end = np.where(h < self.top, self._select(np.minimum(h, max(self.top - 1, 0)), self.zeros, self.zero_step, ~np.uint64(0)) - h, self.n) if self.top else np.full(len(v), self.n)
-        begin = np.where(inside, begin, self.n)
-        end = np.where(inside, end, self.n)
+        z = np.where(h > 0, self._select(np.maximum(h - 1, 0), self.zeros, _FULL), -1)
+        begin, end = z - (h - 1), self._after(z, _FULL) - h
+        begin, end = np.where(inside, begin, self.n), np.where(inside, end, self.n)
+        last = end.copy()
         if not self.l:
-            return begin
-        low = v & ((1 << self.l) - 1) if self.l < 64 else v
+            return begin, begin < last
+        low = v.astype(np.uint64) & self.mask
         live = np.flatnonzero(begin < end)
         while len(live):
             mid = (begin[live] + end[live]) >> 1
-            less = self.low[mid].astype(np.int64) < low[live]
+            less = self._low(mid) < low[live]
             begin[live[less]] = mid[less] + 1
             end[live[~less]] = mid[~less]
             live = live[begin[live] < end[live]]
-        return begin
+        ok = np.flatnonzero(begin < last)
+        none[ok] = self._low(begin[ok]) == low[ok]
+        return begin, none
+
+    def find(self, v: np.ndarray) -> np.ndarray:
+        """Place of the first element that is v or more (n where none is)."""
+        return self.locate(v)[0]
 
 
 def save(path: str, arrays: dict[str, np.ndarray]) -> None:
