@@ -6,10 +6,12 @@ last token of the remaining prefix, forms a compatible pair with it (encoding bo
 together gives just the two) is stored in a table. The ids are then read backwards from the end.
 
 No piece of such a model has a blank after another character, and characters that are not in the
-vocabulary never merge, so texts are cut before blanks and at such characters; stretches are
-encoded once and remembered (up to `REMEMBER` of them, then afresh). Pieces of blanks only share
-one score, which breaks the uniqueness; stretches that begin with two blanks or more are merged
-step by step. Characters that are not in the vocabulary become byte tokens.
+vocabulary never merge, so texts are cut before blanks and at such characters. The cuts are found on
+the bytes of a batch of texts, its distinct stretches are encoded once and remembered (up to `REMEMBER`
+of them, then afresh), and the ids of all stretches are put together by array operations. Pieces of
+blanks only share one score, which breaks the uniqueness; stretches that begin with two blanks or more
+are merged step by step with a heap. Characters that are not in the vocabulary become byte tokens. Time
+is in proportion to a text's length, times its logarithm within such blank stretches.
 
 Models whose normaliser changes texts, or without byte fallback, are refused. Defined results:
 a null text has null ids and an empty one none; any id value passes through, repeated rows are
@@ -21,30 +23,23 @@ they have the name of a new column, when the new one takes their place.
 from __future__ import annotations
 
 import re
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import groupby
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .store import table
+from .text import slices, string_buffer
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 REMEMBER = 300_000
-_CUT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
-
-
-class _Stretches(dict):
-    def __init__(self, model: Model):
-        self.model = model
-
-    def __missing__(self, s: str) -> tuple[int, ...]:
-        found = self[s] = self.model.stretch(s)
-        return found
 
 
 class Model:
@@ -74,21 +69,38 @@ class Model:
                     self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         self.pair: dict[tuple[int, int], bool] = {}
-        self.known = _Stretches(self)
+        self.known: dict[str, tuple[int, ...]] = {}
+        # the bytes that each id decodes to, one after the other
+        own = [bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() for i, t in enumerate(self.plain)]
+        self.own_bytes = np.frombuffer(b"".join(own), np.uint8)
+        self.own_size = np.array([len(b) for b in own], np.int64)
+        self.own_start = np.cumsum(self.own_size) - self.own_size
 
     def merge(self, s: str) -> list[str]:
         """Merging as defined: the best-scored adjacent pair first, the leftmost of equals."""
-        parts = list(s)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                x = self.score.get(parts[i] + parts[i + 1])
-                if x is not None and (best is None or x > best):
-                    best, at = x, i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        parts: list = list(s)
+        n = len(parts)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def pair(i: int):
+            x = self.score.get(parts[i] + parts[after[i]]) if after[i] < n else None
+            return None if x is None else (-x, i, len(parts[i]) + len(parts[after[i]]))
+
+        heap = [p for i in range(n) if (p := pair(i)) is not None]
+        heapify(heap)
+        while heap:
+            _, i, size = heappop(heap)
+            if parts[i] is None or after[i] >= n or len(parts[i]) + len(parts[after[i]]) != size:
+                continue  # of a part that has changed since
+            j = after[i]
+            parts[i], parts[j] = parts[i] + parts[j], None
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for k in (before[i], i):
+                if k >= 0 and (p := pair(k)) is not None:
+                    heappush(heap, p)
+        return [p for p in parts if p is not None]
 
     def _merged_ids(self, s: str) -> list[int]:
         return [i for p in self.merge(s) for i in ([self.id[p]] if p in self.id else [self.byte[b] for b in p.encode()])]
@@ -104,9 +116,14 @@ class Model:
         """Ids of a stretch that has no blank after another character."""
         if s.startswith(BLANK * 2):
             return tuple(self._merged_ids(s))
-        for i, c in enumerate(s):
-            if c not in self.id:
-                return (self.stretch(s[:i]) if i else ()) + tuple(self.byte[b] for b in c.encode()) + (self.stretch(s[i + 1 :]) if i + 1 < len(s) else ())
+        out: list[int] = []
+        for known, part in groupby(s, self.id.__contains__):
+            part = "".join(part)
+            out += self._prefixes(part) if known else [self.byte[b] for b in part.encode()]
+        return tuple(out)
+
+    def _prefixes(self, s: str) -> list[int]:
+        """Ids of a stretch of known characters, by the table of prefixes."""
         last: list = [None] * (len(s) + 1)
         for end, (token, size) in self.automaton.iter(s):
             end += 1
@@ -117,14 +134,50 @@ class Model:
             token, size = last[end]
             out.append(token)
             end -= size
-        return tuple(out[::-1])
+        return out[::-1]
 
     def encode(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
+        return self.encode_all(pa.array([text]))[0]
+
+    def encode_all(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, offsets); nulls have none."""
+        raw, off = blanked(col)
+        if not len(raw):
+            return np.zeros(0, np.int32), off
+        blank, line = raw == 32, raw == 10
+        head = line.copy()  # a stretch begins at a line end, after one, and at a blank after something else
+        head[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+        head[off[:-1][np.diff(off) > 0]] = True
+        start = np.flatnonzero(head)
+        stretch = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.r_[start, len(raw)].astype(np.int32)), pa.py_buffer(raw)).dictionary_encode()
         if len(self.known) > REMEMBER:
             self.known.clear()
-        return np.fromiter(chain.from_iterable(map(self.known.__getitem__, _CUT.findall(BLANK + text.replace(" ", BLANK)))), np.int32)
+        ids = []
+        for t in stretch.dictionary.to_pylist():
+            found = self.known.get(t)
+            if found is None:
+                found = self.known[t] = self.stretch(t.replace(" ", BLANK))
+            ids.append(found)
+        code = stretch.indices.to_numpy()
+        size = np.array([len(x) for x in ids], np.int64)
+        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+        ends = np.r_[0, np.cumsum(size[code])]
+        return flat[_spread(np.cumsum(size) - size, size, code)], ends[np.searchsorted(start, off)]
+
+    def exact(self, col: pa.Array, ids: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Whether the bytes that each text's ids decode to are the text's."""
+        raw, want = string_buffer(col)
+        ends = np.r_[0, np.cumsum(self.own_size[ids])][off]
+        size = np.diff(want)
+        # decoding leaves out the blank that encoding puts before a text
+        same = np.diff(ends) == size + (size > 0)
+        back = self.own_bytes[_spread(self.own_start, self.own_size, ids)]
+        skip = np.zeros(len(back), bool)
+        skip[ends[:-1][np.diff(ends) > 0]] = True
+        if same.all():
+            differs = np.r_[0, np.cumsum(back[~skip] != raw)]
+            return differs[want[1:]] == differs[want[:-1]]
+        return np.array([ok and bytes(back[a + (b > a) : b]) == bytes(raw[c:d]) for ok, a, b, c, d in zip(same, ends, ends[1:], want, want[1:])], bool)
 
     def decode(self, ids) -> str:
         parts = [self.plain[i] for i in ids]
@@ -143,6 +196,20 @@ class Model:
         return out[1:] if out.startswith(" ") else out
 
 
+def _spread(start: np.ndarray, size: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Places of the elements of runs (start, size), for each of `which` in turn."""
+    n = size[which]
+    return np.repeat(start[which] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+
+
+def blanked(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts with U+2581 as a blank and one blank put before each that isn't empty."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    col = pc.replace_substring(pc.fill_null(col, ""), BLANK, " ")
+    return string_buffer(pc.if_else(pc.equal(pc.binary_length(col), 0), "", pc.binary_join_element_wise(" ", col, "")))
+
+
 _models: dict[int, Model] = {}
 
 
@@ -158,24 +225,19 @@ def _read(path: str) -> bytes:
         return f.read()
 
 
-def _list(values: list) -> pa.Array:
-    off = np.cumsum([0, *(0 if v is None else len(v) for v in values)]).astype(np.int32)
-    flat = np.concatenate([np.zeros(0, np.int32), *(v for v in values if v is not None)])
-    return pa.ListArray.from_arrays(pa.array(off), pa.array(flat, pa.int32()), mask=pa.array([v is None for v in values]))
-
-
 def _rows(names: list[str], text: str, proto: bytes, check: bool):
     def run(batches):
         m = model(proto)
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                b = whole.slice(i, 256)
-                texts = b.column(text).to_pylist()
-                ids = [None if t is None else m.encode(t) for t in texts]
+            for b in slices(whole, text):
+                col = b.column(text)
+                none = col.is_null()
+                ids, off = m.encode_all(col)
                 cols = {n: b.column(n) for n in names if n in b.schema.names}
-                cols["ids"], cols["n_ids"] = _list(ids), pa.array([None if v is None else len(v) for v in ids], pa.int32())
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(ids, pa.int32()), mask=none)
+                cols["n_ids"] = pc.if_else(none, None, pa.array(np.diff(off), pa.int32()))
                 if check:
-                    cols["exact"] = pa.array([None if t is None else m.decode(v.tolist()) == t for t, v in zip(texts, ids)], pa.bool_())
+                    cols["exact"] = pc.if_else(none, None, pa.array(m.exact(col, ids, off)))
                 yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
 
     return run

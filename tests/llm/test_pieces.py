@@ -1,6 +1,8 @@
 import os
 import random
+import time
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -41,6 +43,29 @@ def test_any_text(text):
     check(P.model(P._read(P.MODEL)), sentencepiece.SentencePieceProcessor(model_file=P.MODEL), text)
 
 
+def test_long_texts_take_seconds(lib):
+    m = P.model(P._read(P.MODEL))
+    began = time.perf_counter()
+    for text in ("😀" * 100_000, "龘" * 50_000, " " * 100_000, "  " + "ab" * 50_000, "a" + " " * 50_000 + "b" * 50_000, "😀 龘x\n" * 20_000, "word " * 60_000):
+        check(m, lib, text)
+    assert time.perf_counter() - began < 90
+
+
+def test_batches_of_texts(lib):
+    m = P.model(P._read(P.MODEL))
+    texts = HARD + [None, "", "▁▁ a ▁b", "x" * 9, "\n", " \n ", "ends in blank ", "é"] * 3
+    ids, off = m.encode_all(pa.array(texts))
+    for t, a, b in zip(texts, off, off[1:]):
+        assert ids[a:b].tolist() == (lib.encode(t) if t else [])
+    some = [t for t in texts if t and "▁" not in t]
+    for part in (some, texts):
+        ids, off = m.encode_all(pa.array(part))
+        assert m.exact(pa.array(part), ids, off).tolist() == [(not t) or m.decode(m.encode(t).tolist()) == t for t in part]
+    wrong = ids.copy()
+    wrong[off[9]] = 300
+    assert not m.exact(pa.array(part), wrong, off)[9]
+
+
 def test_rows(spark, lib):
     rows = [(i, t, "z") for i, t in enumerate(HARD)] + [(None, None, "n"), (3, "ab", "r"), (3, "ab", "r")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_ids string")
