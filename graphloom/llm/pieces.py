@@ -68,7 +68,9 @@ class Model:
                 if self.merge(p) == [p]:  # others never come out of an encoding
                     self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.pair: dict[tuple[int, int], bool] = {}
+        self.pair: dict[int, bool] = {}
+        self._halves()
+        self.chars = frozenset(c for c in self.id if len(c) == 1)
         self.known: dict[str, tuple[int, ...]] = {}
         # the bytes that each id decodes to, one after the other
         own = [bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() for i, t in enumerate(self.plain)]
@@ -76,15 +78,15 @@ class Model:
         self.own_size = np.array([len(b) for b in own], np.int64)
         self.own_start = np.cumsum(self.own_size) - self.own_size
 
-    def merge(self, s: str) -> list[str]:
-        """Merging as defined: the best-scored adjacent pair first, the leftmost of equals."""
+    def merge(self, s: str, most: int | None = None) -> list[str]:
+        """Merging as defined: the best-scored adjacent pair first, the leftmost of equals; no merges to `most` characters or more."""
         parts: list = list(s)
         n = len(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
         def pair(i: int):
             x = self.score.get(parts[i] + parts[after[i]]) if after[i] < n else None
-            return None if x is None else (-x, i, len(parts[i]) + len(parts[after[i]]))
+            return None if x is None or most is not None and len(parts[i]) + len(parts[after[i]]) >= most else (-x, i, len(parts[i]) + len(parts[after[i]]))
 
         heap = [p for i in range(n) if (p := pair(i)) is not None]
         heapify(heap)
@@ -105,35 +107,75 @@ class Model:
     def _merged_ids(self, s: str) -> list[int]:
         return [i for p in self.merge(s) for i in ([self.id[p]] if p in self.id else [self.byte[b] for b in p.encode()])]
 
+    def _halves(self) -> None:
+        """rank: place of each piece's merge in the order of merges, -1 for characters; left, right: ids of what it is merged from."""
+        n = len(self.piece)
+        self.rank, self.left, self.right, self.rank_of = [-1] * n, [-1] * n, [-1] * n, {}
+        chars = {c: self.id[c] for p in self.id for c in p if c in self.id}
+        order = sorted((p for p in self.id if len(p) > 1 and set(p) != {BLANK}), key=lambda p: -self.score[p])
+        rank = {p: r for r, p in enumerate(order)}
+        for p, r in rank.items():
+            self.rank_of[p] = self.rank[self.id[p]] = r
+            # the last merge is the one whose later half was made last
+            cuts = [(max(rank.get(p[:k], -1), rank.get(p[k:], -1)), k) for k in range(1, len(p)) if (p[:k] in rank or p[:k] in chars) and (p[k:] in rank or p[k:] in chars)]
+            cuts = [(late, k) for late, k in sorted(cuts) if late < r]
+            for _, k in cuts:
+                if self.rank[self.id[p]] == r and (len(cuts) == 1 or self._tells(p, k)):
+                    self.left[self.id[p]], self.right[self.id[p]] = self.id[p[:k]], self.id[p[k:]]
+                    break
+
+    def _tells(self, p: str, k: int) -> bool:
+        """Whether merging p comes to the halves before and after k in the end."""
+        return self.merge(p, len(p)) == [p[:k], p[k:]]
+
     def compatible(self, a: int, b: int) -> bool:
-        found = self.pair.get((a, b))
-        if found is None:
-            x, y = self.piece[a], self.piece[b]
-            found = self.pair[a, b] = self.merge(x + y) == [x, y]
-        return found
+        """Whether encoding the texts of both together gives just the two: no merge across the border comes before those within."""
+        rank, rank_of, piece, left, right = self.rank, self.rank_of, self.piece, self.left, self.right
+        limit = len(rank)
+        while True:
+            if rank_of.get(piece[a] + piece[b], limit) < limit:
+                return False
+            if rank[a] > rank[b]:
+                limit, a = rank[a], right[a]
+            elif rank[b] < 0:
+                return True
+            else:
+                limit, b = rank[b] + 1, left[b]
+            if a < 0 or b < 0:
+                raise ValueError("a piece that no merge of two makes")
 
     def stretch(self, s: str) -> tuple[int, ...]:
         """Ids of a stretch that has no blank after another character."""
         if s.startswith(BLANK * 2):
             return tuple(self._merged_ids(s))
+        if self.chars.issuperset(s):
+            return tuple(self._prefixes(s))
         out: list[int] = []
-        for known, part in groupby(s, self.id.__contains__):
+        for known, part in groupby(s, self.chars.__contains__):
             part = "".join(part)
             out += self._prefixes(part) if known else [self.byte[b] for b in part.encode()]
         return tuple(out)
 
     def _prefixes(self, s: str) -> list[int]:
         """Ids of a stretch of known characters, by the table of prefixes."""
-        last: list = [None] * (len(s) + 1)
-        for end, (token, size) in self.automaton.iter(s):
+        token, size = [-1] * (len(s) + 1), [0] * (len(s) + 1)
+        pair, many = self.pair, len(self.piece)
+        for end, (t, n) in self.automaton.iter(s):
             end += 1
-            if last[end] is None and (size == end or self.compatible(last[end - size][0], token)):
-                last[end] = (token, size)
+            if size[end]:
+                continue
+            if n < end:
+                a = token[end - n]
+                ok = pair.get(a * many + t)
+                if ok is None:
+                    ok = pair[a * many + t] = self.compatible(a, t)
+                if not ok:
+                    continue
+            token[end], size[end] = t, n
         out, end = [], len(s)
         while end:
-            token, size = last[end]
-            out.append(token)
-            end -= size
+            out.append(token[end])
+            end -= size[end]
         return out[::-1]
 
     def encode(self, text: str) -> np.ndarray:

@@ -51,6 +51,18 @@ def test_long_texts_take_seconds(lib):
     assert time.perf_counter() - began < 90
 
 
+def test_compatible_pairs_by_merging():
+    m = P.model(P._read(P.MODEL))
+    rnd = random.Random(3)
+    own = [i for i in m.id.values() if len(m.piece[i]) == 1 or m.left[i] >= 0]
+    some = [i for i in own if len(m.piece[i]) < 4]
+    for _ in range(6000):
+        a, b = rnd.choice(some if rnd.random() < 0.7 else own), rnd.choice(some if rnd.random() < 0.7 else own)
+        x, y = m.piece[a], m.piece[b]
+        if m.merge(x) == [x] and m.merge(y) == [y]:
+            assert m.compatible(a, b) == (m.merge(x + y) == [x, y])
+
+
 def test_batches_of_texts(lib):
     m = P.model(P._read(P.MODEL))
     texts = HARD + [None, "", "▁▁ a ▁b", "x" * 9, "\n", " \n ", "ends in blank ", "é"] * 3
