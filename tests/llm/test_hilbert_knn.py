@@ -15,27 +15,37 @@ def frame(spark, v):
     return spark.createDataFrame([(i, [float(x) for x in r], "x", 1) for i, r in enumerate(v)], "vec_id long, embedding array<float>, near string, rank int")
 
 
-@pytest.mark.parametrize("kind", ["clusters", "noise"])
-def test_recall(spark, kind):
+@pytest.mark.parametrize("kind", ["clusters", "noise", "copies"])
+def test_recall(spark, kind, monkeypatch):
+    """Against brute force, with windows narrower than the table."""
     rnd = np.random.default_rng(1)
-    v = rnd.normal(size=(1500, 16)) if kind == "noise" else (rnd.normal(size=(150, 16))[rnd.integers(0, 150, 1500)] + 0.05 * rnd.normal(size=(1500, 16)))
+    v = rnd.normal(size=(1500, 8)) if kind == "noise" else (rnd.normal(size=(150, 16))[rnd.integers(0, 150, 1500)] + 0.05 * rnd.normal(size=(1500, 16)))
+    if kind == "copies":
+        v[500:900] = v[3]
     v = v.astype(np.float32)
+    fits = []
+    fitted = H.fitted
+    monkeypatch.setattr(H, "fitted", lambda *a: fits.append(fitted(*a)) or fits[-1])
     got = {}
-    for r in H.neighbours(frame(spark, v), block=100).collect():
-        got.setdefault(r.id, []).append(r.near)
+    for r in H.neighbours(frame(spark, v), block=100, every=3).collect():
+        got.setdefault(r.id, []).append((r.near, r.similarity))
     want = brute(v.astype(float), 10)
-    assert np.mean([len(set(got[i]) & set(want[i].tolist())) / 10 for i in range(1500)]) >= 0.9
-    assert all(len(x) == 10 for x in got.values()) and len(got) == 1500
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert set(got) == set(range(0, 1500, 3)) and all(len(x) == 10 for x in got.values())
+    hits = [s >= float(u[i] @ u[want[i][-1]]) - 1e-5 for i, x in got.items() for _, s in x]
+    assert np.mean(hits) >= 0.9
+    (use, w), = fits
+    assert 2 * w + 1 < (1500 if kind == "noise" else 700)
 
 
 def test_odd_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [1.0]), (7, [float("nan"), 1.0]), (8, [0.0, 0.0]), (None, [1.0, 0.0]), (9, [1.0, 0.0]), (10, [float("inf"), 0.0]), (11, [None, 1.0])]
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, id int")
-    got = {(r.id, r.rank): (r.near, r.similarity) for r in H.neighbours(df, k=3).collect()}
+    got = {(r.id, r.rank): (r.near, r.similarity) for r in H.neighbours(df, k=3, every=1).collect()}
     assert {i for i, _ in got} == {1, 2, 3, 8, 9}
     assert got[1, 1] == (9, 1.0) and got[9, 1] == (1, 1.0) and got[8, 1] == (1, 0.0) and got[3, 1][0] == 2
-    assert H.neighbours(df.limit(0)).count() == 0
-    assert H.neighbours(df.filter("vec_id = 1")).count() == 0
+    assert H.neighbours(df.limit(0), every=1).count() == 0
+    assert H.neighbours(df.filter("vec_id = 1"), every=1).count() == 0
 
 
 def test_curve_visits_each_cell_once_in_steps():
@@ -48,10 +58,9 @@ def test_curve_visits_each_cell_once_in_steps():
 
 
 def test_setting():
-    places = {0: [0, 5], 1: [1, 5], 2: [9, 5]}
-    assert H.setting([(0, 1), (0, 2)], places, 100, 1.0) == (2, 0)
-    assert H.setting([(0, 1)], places, 100, 1.0) == (2, 0)
-    assert H.setting([], places, 3, 0.9) == (1, 3)
+    gaps = np.array([[1, 90], [80, 2], [3, 70], [60, 60]])
+    assert H.setting(gaps, 0.75) == (2, 3) and H.setting(gaps, 1.0) == (1, 80) and H.setting(gaps[:1], 1.0) == (1, 1)
+    assert H.setting(gaps[:0], 0.9) == (1, 1)
 
 
 def test_ties_of_many_equal_vectors_go_to_the_smaller_id():
