@@ -4,47 +4,32 @@ The words of all templates form one suffix automaton. The words of a document ar
 through it, which gives at each word the longest run ending there that occurs in any template
 (matching statistics). Runs of `shortest` words or more that cannot be longer are chained, template by template, in
 order of both texts; a chain that covers `cover` of a template's words is reported with the span
-of the document that it takes up. Documents that share no `shortest`-gram with a template, found
+of the document that it takes up. A span within another one that covers more words is left out, so that
+a licence isn't reported again as one that it contains. Documents that share no `shortest`-gram with a template, found
 by one set lookup on gram hashes, cannot hold such a run and skip the automaton.
 
 Defined results: null, empty and wordless texts and tables hold nothing; null ids pass through;
 repeated rows are each reported; texts are streamed whole; of chains that tie the earlier start
-wins; a template that occurs several times is reported each time; columns other than id and text
+wins, of templates that tie over the same words the one that is covered most, then the first name; a template that occurs several times is reported each time; columns other than id and text
 are ignored.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_texts import TEMPLATES
 from .store import table
 from .text import Words, grams, slices
 
 SHORTEST, COVER, GAP = 4, 0.6, 12
 
-TEMPLATES = {
-    "MIT-notice": "Released under the MIT License.",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    "Apache-2.0": "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
-    "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
-    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-}
-
-
 class Automaton:
     """Suffix automaton of several sequences. next, link, length: by state; places: (sequence, end) where the state's runs end."""
 
@@ -139,34 +124,78 @@ class Scanner:
         out = []
         for s, runs in sorted(by.items()):
             out += self._chains(s, sorted(runs))
-        return sorted(out, key=lambda x: (x[1], x[2], x[0]))
+        return _outermost(out, dict(zip(self.names, self.size)))
 
     def _chains(self, s: int, runs: list[tuple[int, int, int]]):
-        """The best chain first, then the best of those runs that are beyond what was taken."""
+        """The best chain first, then the best of those runs that are beyond what was taken.
+
+        A run's predecessors begin within the gap and the longest run before it, and a chain has at most as
+        many runs as the template has words, so taking a chain changes few values behind it.
+        """
         found, starts = [], [r[0] for r in runs]
-        free = list(range(len(runs)))
-        while free:
-            best, back = {}, {}
-            for i in free:
-                x, y, n = runs[i]
-                best[i], back[i] = n, -1
-                for j in free[: bisect_left(free, i)][::-1]:
-                    px, py, pn = runs[j]
-                    over = max(0, px + pn - x, py + pn - y)
-                    if px < x and py < y and over < n and x - (px + pn) <= self.gap and best[j] + n - over > best[i]:
-                        best[i], back[i] = best[j] + n - over, j
-            end = max(free, key=lambda i: (best[i], -starts[i]))
-            if best[end] < self.cover * self.size[s]:
+        back_to = self.gap + max(n for _, _, n in runs)
+        best, back, gone = [0] * len(runs), [-1] * len(runs), [False] * len(runs)
+
+        def value(i: int) -> tuple[int, int]:
+            x, y, n = runs[i]
+            most, via = n, -1
+            for j in range(i - 1, bisect_left(starts, x - back_to) - 1, -1):
+                px, py, pn = runs[j]
+                over = max(0, px + pn - x, py + pn - y)
+                if not gone[j] and px < x and py < y and over < n and x - (px + pn) <= self.gap and best[j] + n - over > most:
+                    most, via = best[j] + n - over, j
+            return most, via
+
+        for i in range(len(runs)):
+            best[i], back[i] = value(i)
+        heap = [(-best[i], starts[i], i) for i in range(len(runs))]
+        heapify(heap)
+        while heap:
+            most, _, end = heappop(heap)
+            if gone[end]:
+                continue
+            if -most != best[end]:
+                heappush(heap, (-best[end], starts[end], end))
+                continue
+            if -most < self.cover * self.size[s]:
                 break
             i = end
             while back[i] >= 0:
                 i = back[i]
             a, b = runs[i][0], runs[end][0] + runs[end][2]
-            found.append((self.names[s], a, b, min(best[end], self.size[s])))
-            free = [i for i in free if runs[i][0] + runs[i][2] <= a or runs[i][0] >= b]
+            found.append((self.names[s], a, b, min(-most, self.size[s])))
+            changed = a
+            for i in range(bisect_left(starts, a - back_to), bisect_left(starts, b)):
+                if not gone[i] and runs[i][0] + runs[i][2] > a:
+                    gone[i], changed = True, max(changed, runs[i][0])
+            for i in range(bisect_left(starts, b), len(runs)):
+                if starts[i] > changed + back_to:
+                    break
+                if not gone[i]:
+                    now = value(i)
+                    if now != (best[i], back[i]):
+                        (best[i], back[i]), changed = now, starts[i]
         return found
 
 
+def _outermost(spans: list[tuple[str, int, int, int]], size: dict[str, int]) -> list[tuple[str, int, int, int]]:
+    """Of spans (template, start, end, covered), in order of start, those not within one that covers more words (of as many, a larger share; then the first name)."""
+    order = sorted(spans, key=lambda x: (-x[3], -x[3] / size[x[0]], x[0], x[1]))
+    first, reach, kept = [], [], []  # kept spans by start, and how far those up to each reach
+    for x in order:
+        i = bisect_right(first, x[1])
+        if i and reach[i - 1] >= x[2]:
+            continue
+        kept.append(x)
+        first.insert(i, x[1])
+        reach.insert(i, max(x[2], reach[i - 1] if i else 0))
+        for k in range(i + 1, len(reach)):
+            if reach[k] >= x[2]:
+                break
+            reach[k] = x[2]
+    return sorted(kept, key=lambda x: (x[1], x[2], x[0]))
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", templates: dict[str, str] = TEMPLATES, shortest: int = SHORTEST, cover: float = COVER) -> DataFrame:
     """(id, license, start_word, end_word, covered, coverage) for each template span, end exclusive."""
 
