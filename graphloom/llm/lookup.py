@@ -7,6 +7,7 @@ whole; batches of keys are looked up in ascending order, so that each part is re
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 
@@ -42,6 +43,13 @@ def unpack_any(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(8, -1).T).view(np.uint64).ravel()
 
 
+def trim() -> None:
+    """Gives freed memory back to the system; a worker that goes on to its next task would keep it."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def bounds(parts: int, bits: int = 64) -> np.ndarray:
     """The first key of each part but the first, of keys under 2**bits."""
     return np.array([-(-(p << bits) // parts) for p in range(1, parts)], np.uint64)

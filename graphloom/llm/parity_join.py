@@ -45,13 +45,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import components, forest
 from .elias_fano import save
-from .lookup import Lookup, bounds, folder, pack, pack_any, sorted_with_places, unpack, unpack_any, write
+from .lookup import Lookup, bounds, folder, pack, pack_any, sorted_with_places, trim, unpack, unpack_any, write
 from .store import cut, table
 from .text import Words, grams, mix, mix_int, slices
 
 NGRAM, THRESHOLD = 3, 0.5
-SPARE, BATCH = 10, 1_000_000  # n-grams of a batch that is looked up at once
-BLOCK, SETS, TILE = 1_500_000, 8192, 1024
+SPARE, BATCH, STEPS = 10, 600_000, 16  # n-grams of a batch that is looked up at once
+BLOCK, SETS, TILE = 800_000, 4096, 512
 _KEY = np.uint64(8)  # keys are the upper 56 bits
 
 
@@ -118,6 +118,8 @@ def _batches(batches, n: int, most: int = BATCH):
                 held, size = [], 0
     if held:
         yield joined()
+        held = []
+    trim()
 
 
 def _rows(n: int, kind: pa.DataType):
@@ -126,6 +128,7 @@ def _rows(n: int, kind: pa.DataType):
             for part in slices(batch, "text"):
                 g, off = text_sets(part.column("text"), n)
                 yield pa.RecordBatch.from_arrays([part.column("id").cast(kind), part.column("h"), pa.array(np.diff(off)), pa.array(prints(g, off))], ["id", "h", "n", "f"])
+        trim()
 
     return run
 
@@ -151,14 +154,21 @@ def _frequent(texts: DataFrame, n: int, total: int) -> tuple[str, int, int]:
             for p, k, c in zip(*(b.column(x).to_pylist() for x in ("part", "key", "count"))):
                 by.setdefault(p, []).append((k, c))
         for p in sorted(by):
-            got = by.pop(p)
-            k = np.concatenate([unpack(x) for x, _ in got])
-            c = np.concatenate([unpack_any(x) for _, x in got]).astype(np.int64) + 1
-            k, place = sorted_with_places(k, bits)
-            head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-            c = np.add.reduceat(c[place], head)
-            often = c > 1
-            save(f"{at}/{p}", {"key": k[head][often], "level": np.log2(c[often]).astype(np.uint8)})
+            got = [(unpack(k), (unpack_any(c) + np.uint64(1)).astype(np.uint32)) for k, c in by.pop(p)]
+            low, high = (int(cuts[p - 1]) if p else 0), (int(cuts[p]) if p + 1 < parts else 1 << bits)
+            keys, levels = [], []
+            step = max(1, (high - low) // STEPS)
+            for x in range(low, high, step):  # a stretch at a time, so that what is sorted stays small
+                ends = [np.searchsorted(k, np.array([x, min(x + step, high)], np.uint64)) for k, _ in got]
+                k, place = sorted_with_places(np.concatenate([k[i:j] for (k, _), (i, j) in zip(got, ends)]), bits)
+                if len(k):
+                    c = np.concatenate([c[i:j] for (_, c), (i, j) in zip(got, ends)])[place]
+                    head = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+                    c = np.add.reduceat(c, head, dtype=np.int64)
+                    keys.append(k[head][c > 1]), levels.append(np.log2(c[c > 1]).astype(np.uint8))
+            save(f"{at}/{p}", {"key": np.concatenate([np.zeros(0, np.uint64), *keys]), "level": np.concatenate([np.zeros(0, np.uint8), *levels])})
+            del got, keys, levels
+            trim()
             yield pa.RecordBatch.from_pydict({"part": pa.array([p], pa.int32())})
 
     texts.mapInArrow(count, "part int, key binary, count binary").repartition(parts, F.col("part")).mapInArrow(store, "part int").collect()

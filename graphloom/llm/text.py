@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORD_RE = r"[a-z0-9_\x{80}-\x{10FFFF}]+"
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15 | 1)
 _PINV = np.uint64(pow(int(_P), -1, 1 << 64))
 _IS_WORD = np.zeros(256, bool)
