@@ -104,12 +104,15 @@ def dedup_edges(g: Graph) -> DataFrame:
 def purge(g: Graph, files: DataFrame, declared: bool = True) -> Graph:
     """g without nodes of files (file); declared: also those that only say where they are declared."""
     at = F.coalesce("file", F.get_json_object("props_json", "$.declared_in")) if declared else F.col("file")
-    ids = g.nodes.select("id", at.alias("file")).join(files.select("file").distinct(), "file", "left_semi")
-    out = remove_nodes(g, ids)
+    gone = cut(g.nodes.select("id", at.alias("file")).join(files.select("file").distinct(), "file", "left_semi").select("id").distinct())
     if declared:
-        loose = out.nodes.filter((F.col("type") == "package") & (F.get_json_object("props_json", "$.external") == "true")).select("id").join(out.edges.select(F.col("dst").alias("id")).union(out.edges.select("src")), "id", "left_anti")
-        out = remove_nodes(out, loose)
-    return out
+        outside = (F.col("type") == "package") & (F.get_json_object("props_json", "$.external") == "true")
+        packages = cut(g.nodes.filter(outside).select("id").join(gone, "id", "left_anti"))
+        if not packages.isEmpty():
+            ends = g.edges.select(F.col("dst").alias("id"), F.col("src").alias("other")).union(g.edges.select("src", "dst"))
+            used = ends.join(packages, "id", "left_semi").join(gone.withColumnRenamed("id", "other"), "other", "left_anti").select("id")
+            gone = cut(gone.union(packages.join(used, "id", "left_anti")))
+    return remove_nodes(g, gone)
 
 
 def incremental(g: Graph, dirty: DataFrame, nodes: DataFrame, edges: DataFrame) -> Graph:
@@ -139,9 +142,24 @@ def resolve_foreign_keys(edges: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def mentions(commands: DataFrame, agents: DataFrame) -> DataFrame:
-    """invokes edges from commands (id, text) to agents (id, name) that the text names, in any case."""
+    """invokes edges from commands (id, text) to agents (id, name) that the text names, in any case.
+
+    A name is looked for in texts that have its longest inner word, one with a blank on either side within
+    the name; one without such a word is looked for in texts that have its first three characters.
+    """
     c, a = commands.select(F.col("id").alias("src"), F.lower("text").alias("t")), agents.select(F.col("id").alias("dst"), F.lower("name").alias("n")).filter("n <> ''")
-    return c.join(a, F.col("t").contains(F.col("n"))).select("src", "dst", F.lit("invokes").alias("type"), F.lit("{}").alias("props_json"))
+    words = F.split("n", " ")
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    a = a.withColumn("word", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w), w.alias("w"))))["w"])
+    by_word = c.select("src", "t", F.explode(F.array_distinct(F.split("t", " "))).alias("word")).join(a.filter("word IS NOT NULL"), "word")
+    out = by_word.filter(F.col("t").contains(F.col("n"))).select("src", "dst")
+    rest = cut(a.filter("word IS NULL").select("dst", "n", F.substring("n", 1, 3).alias("head")))
+    if not rest.isEmpty():
+        sizes = [r[0] for r in rest.select(F.length("head")).distinct().collect()]  # 1 to 3
+        heads = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - (k - 1), F.lit(1))), lambda i, k=k: F.substr("t", i, F.lit(k))) for k in sizes]
+        by_head = c.filter("t <> ''").select("src", "t", F.explode(F.array_distinct(F.flatten(F.array(*heads)))).alias("head")).join(rest, "head")
+        out = out.union(by_head.filter(F.col("t").contains(F.col("n"))).select("src", "dst"))
+    return out.select("src", "dst", F.lit("invokes").alias("type"), F.lit("{}").alias("props_json"))
 
 
 def topology(g: Graph, nodes: DataFrame, edges: DataFrame, packages: DataFrame | None = None) -> Graph:

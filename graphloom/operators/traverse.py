@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .. import schema as S
 from ..functions.columns import surface, trace_bucket
 from ..model import Graph, aliases, edge_key
-from ..store import cut
+from ..store import cut, few
 
 
 def _ids(g: Graph, ids: list[str]) -> DataFrame:
@@ -57,17 +57,20 @@ def bfs(g: Graph, seeds: DataFrame, depth: int, direction: str = "both", types:
     """(id, hop) of what is reached within depth; direction: out, in or both; known: only nodes of the graph."""
     e = g.edges.filter(F.col("type").isin(*types)) if types else g.edges
     e = both_ways(e) if direction == "both" else e.select(F.col("src" if direction == "out" else "dst").alias("at"), F.col("dst" if direction == "out" else "src").alias("other"))
-    e = e.select("at", "other").distinct()
-    seen = cut(seeds.select("id", F.lit(0).alias("hop")).distinct())
-    front = seen
+    e = e.select("at", "other")
+    seen = front = cut(seeds.select("id", F.lit(0).alias("hop")).distinct())
+    size = total = front.count()
     for hop in range(1, depth + 1):
-        step = e.join(front.select(F.col("id").alias("at")), "at", "left_semi").select(F.col("other").alias("id")).distinct().join(seen, "id", "left_anti")
+        # a small frontier goes to the edges, so that they are filtered where they lie
+        step = e.join(few(front.select(F.col("id").alias("at")), size), "at", "left_semi").select(F.col("other").alias("id")).distinct().join(few(seen.select("id"), total), "id", "left_anti")
         if known:
-            step = step.join(g.nodes.select("id"), "id", "left_semi")
+            step = cut(step)
+            step = g.nodes.select("id").join(few(step, step.count()), "id", "left_semi").distinct()
         front = cut(step.withColumn("hop", F.lit(hop)))
-        if front.isEmpty():
+        size = front.count()
+        if not size:
             break
-        seen = seen.unionByName(front)
+        seen, total = seen.unionByName(front), total + size
     return seen
 
 
@@ -110,7 +113,7 @@ def references(g: Graph, name: str) -> DataFrame:
     return g.edges.filter("type = 'calls'").join(symbols_named(g, name).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
 
 
-def path(g: Graph, start: str, goal: str, order: str = "edges", most: int = 64) -> DataFrame:
+def path(g: Graph, start: str, goal: str, order: str = "edges") -> DataFrame:
     """(step, id, edge_type, edge_src, edge_dst) of the shortest undirected path that a queue would find first.
 
     Neighbours are taken in the order of the edges (order="edges"), of the neighbour's id and edge
@@ -121,18 +124,18 @@ def path(g: Graph, start: str, goal: str, order: str = "edges", most: int = 64)
     e = e.join(known, "other", "left_semi").withColumn("key", edge_key())
     tie = {"edges": F.struct("key"), "federated": F.struct("other", "key"), "ids": F.struct("other", "key")}[order]
     e = e.withColumn("tie", tie)
-    layer = cut(_ids(g, [start]).join(g.nodes.select("id"), "id", "left_semi").withColumn("rank", F.lit(0)).withColumn("parent", F.lit(None).cast("string")))
+    layer = cut(_ids(g, [start]).join(g.nodes.select("id"), "id", "left_semi").withColumn("rank", F.lit(0).cast("bigint")).withColumn("parent", F.lit(None).cast("string")))
     layers, seen = [layer], layer.select("id")
     found = start == goal
-    for _ in range(most):
-        if found or layer.isEmpty():
-            break
-        step = e.join(layer.select(F.col("id").alias("at"), "rank"), "at").join(seen, F.col("other") == seen["id"], "left_anti")
+    size = total = layer.count()
+    while not found and size:
+        step = e.join(few(layer.select(F.col("id").alias("at"), "rank"), size), "at").join(few(seen.select(F.col("id").alias("other")), total), "other", "left_anti")
         step = step.groupBy(F.col("other").alias("id")).agg(F.min(F.struct("rank", "tie", F.col("at").alias("parent"))).alias("m"))
-        step = step.select("id", F.row_number().over(Window.orderBy("m")).alias("rank"), F.col("m.parent").alias("parent"))
-        layer = cut(step)
+        # range partitions in order, so ids that grow with partition and row keep the order of m
+        layer = cut(step.orderBy("m").select("id", F.monotonically_increasing_id().alias("rank"), F.col("m.parent").alias("parent")))
         layers.append(layer)
-        seen = seen.union(layer.select("id"))
+        size = layer.count()
+        seen, total = seen.union(layer.select("id")), total + size
         found = not layer.filter(F.col("id") == goal).isEmpty()
     spark = g.nodes.sparkSession
     out = "step int, id string, edge_type string, edge_src string, edge_dst string"

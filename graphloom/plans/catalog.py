@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from ..model import Graph, fill, resolve
 from ..operators import agents, build, communities, enrich, federation, retrieve, rules, stats, traverse
 from ..sources import files, relational, strategies
 from ..sources.relational import graph, sql
+from ..store import cut
 from ..streaming import watch
 
 _queries: dict = {}
@@ -74,9 +77,10 @@ def p2_list_nodes(g: Graph):
     return g.nodes.filter("type = 'service'").select("id", "label").orderBy("id")
 
 
-@query(sql("SELECT id FROM n WHERE id = 'nation:3'"))
+@query(sql("SELECT 'nation:3' AS name, id FROM n WHERE id = 'nation:3' UNION ALL SELECT 'NATION_4', id FROM n WHERE type = 'deploy' AND label = 'NATION_4'"))
 def p3_resolve_id(g: Graph):
-    return resolve(g.nodes, "nation:3")
+    old = g.nodes.withColumn("aliases", F.when(F.col("type") == "deploy", F.array("label")))
+    return resolve(old, "nation:3").select(F.lit("nation:3").alias("name"), "id").union(resolve(old, "NATION_4").select(F.lit("NATION_4"), "id"))
 
 
 @query(sql(f"SELECT id, {_CLASS} AS class FROM n"))
@@ -217,12 +221,6 @@ def g15_top_nodes(g: Graph):
 # --- communities and cycles ---
 
 
-def _calls(g: Graph) -> Graph:
-    """The part of the graph made of symbols, channels, pages, sources and documents."""
-    keep = F.col("type").isin("symbol", "channel", "route", "package", "doc")
-    return Graph(g.nodes.filter(keep), g.edges.filter(F.col("src").rlike("^(symbol|page|src):")), g.meta)
-
-
 _WEIGHT = "CASE type WHEN 'contains' THEN 4.0 WHEN 'calls' THEN 3.0 WHEN 'invokes' THEN 3.0 WHEN 'depends_on' THEN 2.0 WHEN 'consumes' THEN 2.0 WHEN 'produces' THEN 2.0 ELSE 1.0 END"
 _ADJ = f"okn AS (SELECT id FROM n WHERE NOT {_UNRESOLVED}), dir AS (SELECT src, dst, sum({_WEIGHT}) AS w FROM e WHERE src <> dst AND src IN (SELECT id FROM okn) AND dst IN (SELECT id FROM okn) GROUP BY 1, 2), adj AS (SELECT a, b, sum(w)::DOUBLE AS weight FROM (SELECT src AS a, dst AS b, w FROM dir UNION ALL SELECT dst, src, w FROM dir) GROUP BY 1, 2)"
 
@@ -234,24 +232,22 @@ def g12b_adjacency(g: Graph):
 
 @query()
 def g12c_labels(g: Graph):
-    return communities.labels(_calls(g))
+    return communities.labels(g)
 
 
 @query()
 def g12d_assignments(g: Graph):
-    return communities.assign(_calls(g))
+    return communities.assign(g)
 
 
 @query()
 def g12e_summaries(g: Graph):
-    small = _calls(g)
-    return communities.summaries(small, communities.assign(small))
+    return communities.summaries(g, communities.assign(g))
 
 
 @query()
 def g12f_community_hubs(g: Graph):
-    small = _calls(g)
-    return communities.hubs(small, communities.assign(small))
+    return communities.hubs(g, communities.assign(g))
 
 
 @query(sql("SELECT okn.id, count(b) AS degree FROM okn LEFT JOIN adj ON a = okn.id GROUP BY 1 ORDER BY degree DESC, id LIMIT 12", _ADJ))
@@ -261,18 +257,17 @@ def g12g_hubs(g: Graph):
 
 @query()
 def g12h_health(g: Graph):
-    small = _calls(g)
-    return communities.health(small, communities.assign(small))
+    return communities.health(g, communities.assign(g))
 
 
 @query()
 def g13_cycles(g: Graph):
-    return communities.cycles(_calls(g))
+    return communities.cycles(g)
 
 
-@query()
+@query(sql("SELECT id, min(r)::VARCHAR AS component FROM (SELECT id, r FROM walk) GROUP BY id", "und AS MATERIALIZED (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), walk AS (SELECT a AS id, a AS r FROM (SELECT DISTINCT a FROM und) WHERE NOT EXISTS (SELECT 1 FROM und u WHERE u.a = id AND u.b < id) UNION SELECT und.b, walk.r FROM walk JOIN und ON und.a = walk.id)"))
 def g13_components(g: Graph):
-    return communities.components(g.edges.filter("type = 'contains'").select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    return communities.components(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
 
 # --- retrieval ---
@@ -383,15 +378,15 @@ def m8_dedup_edges(g: Graph):
     return build.dedup_edges(g).select("src", "dst", "type")
 
 
-_GONE = "gone AS (SELECT id FROM n WHERE file IN (SELECT 'supplier/' || n_name || '.tbl' FROM nation WHERE n_nationkey < 5))"
+_GONE = "gone AS MATERIALIZED (SELECT id FROM n WHERE file IN (SELECT 'supplier/' || n_name || '.tbl' FROM nation WHERE n_nationkey < 5))"
 
 
-@query(sql("SELECT id FROM n WHERE id NOT IN (SELECT id FROM gone)", _GONE))
+@query(sql("SELECT n.id FROM n ANTI JOIN gone ON n.id = gone.id", _GONE))
 def m13_purge_nodes(spark, sf_dir: str):
     return build.purge(graph(spark, sf_dir), _stale(spark, sf_dir)).nodes.select("id")
 
 
-@query(sql("SELECT src, dst, type FROM e WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)", _GONE))
+@query(sql("SELECT e.src, e.dst, e.type FROM e ANTI JOIN gone a ON e.src = a.id ANTI JOIN gone b ON e.dst = b.id", _GONE))
 def m13_purge_edges(spark, sf_dir: str):
     return build.purge(graph(spark, sf_dir), _stale(spark, sf_dir)).edges.select("src", "dst", "type")
 
@@ -421,11 +416,11 @@ def m5_foreign_keys(spark, sf_dir: str):
     return build.resolve_foreign_keys(e, tables).select("src", "dst")
 
 
-@query("SELECT 'doc:' || d.doc_id AS src, 'b:' || b.item_id AS dst FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(substr(b.text, 1, 30)))")
+@query("SELECT 'doc:' || d.doc_id AS src, 'b:' || b.item_id AS dst FROM documents d JOIN benchmark b ON contains(lower(d.text), lower(b.text))")
 def m6_mentions(spark, sf_dir: str):
     t = relational.tables(spark, sf_dir)
     docs = t("documents").select(F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), "text")
-    return build.mentions(docs, t("benchmark").select(F.concat(F.lit("b:"), F.col("item_id").cast("string")).alias("id"), F.substring("text", 1, 30).alias("name"))).select("src", "dst")
+    return build.mentions(docs, t("benchmark").select(F.concat(F.lit("b:"), F.col("item_id").cast("string")).alias("id"), F.col("text").alias("name"))).select("src", "dst")
 
 
 @query()
@@ -465,9 +460,9 @@ def d1_diff(g: Graph):
 # --- rules ---
 
 
-@query(sql("SELECT id, type IN ('doc', 'config') AS suppressed FROM n WHERE id NOT IN (SELECT src FROM e UNION SELECT dst FROM e)"))
+@query(sql("SELECT n.id, n.type IN ('doc', 'config') AS suppressed FROM n ANTI JOIN (SELECT src AS id FROM e WHERE type NOT IN ('references_file', 'contains') UNION SELECT dst FROM e WHERE type NOT IN ('references_file', 'contains')) u ON u.id = n.id"))
 def l2_orphans(g: Graph):
-    return rules.orphans(g)
+    return rules.orphans(Graph(g.nodes, g.edges.filter("type NOT IN ('references_file', 'contains')"), g.meta))
 
 
 @query("SELECT r_name AS id FROM region WHERE r_name NOT IN (SELECT r_name FROM region JOIN nation ON n_regionkey = r_regionkey WHERE n_name < 'M')")
@@ -478,14 +473,15 @@ def l3_empty_sources(spark, sf_dir: str):
     return rules.empty_sources(src, own)
 
 
-@query(sql("SELECT src, dst, e.type, a.layer AS from_layer, b.layer AS to_layer FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.layer <> b.layer"))
+@query(sql("SELECT src, dst, e.type, a.type AS from_layer, b.type AS to_layer FROM e JOIN n a ON a.id = src JOIN n b ON b.id = dst WHERE a.type <> b.type AND NOT (a.type = 'rpc' AND e.type = 'consumes') AND b.type <> 'contract'"))
 def l5_boundary(g: Graph):
-    return rules.boundary(g)
+    allowed = g.nodes.sparkSession.createDataFrame([("rpc", "*", "consumes"), ("*", "contract", None)], "`from` string, `to` string, edge_type string")
+    return rules.boundary(Graph(g.nodes.withColumn("layer", F.col("type")), g.edges, g.meta), allowed)
 
 
-@query()
+@query(sql("SELECT x AS id, 'contract:' || substr(id, 6) AS base FROM (SELECT id, unnest([id, 'contract:' || substr(id, 6)]) AS x FROM n WHERE type = 'contract' AND id NOT LIKE '%0')"))
 def l6_double_ids(g: Graph):
-    twin = g.nodes.filter("type = 'part' OR type = 'contract'").withColumn("id", F.concat(F.lit("part:-"), F.substring("id", 6, 20)))
+    twin = g.nodes.filter("type = 'contract'").withColumn("aliases", F.when(F.col("id").endswith("0"), F.array("id"))).withColumn("id", F.concat(F.lit("contract:"), F.substring("id", 6, 20)))
     return rules.double_ids(Graph(g.nodes.unionByName(twin.select(*g.nodes.columns)), g.edges))
 
 
@@ -497,9 +493,9 @@ def l7_lonely_files(spark, sf_dir: str):
     return rules.lonely_files(Graph(fill(n.select(f.alias("id"), F.lit("file").alias("type"), F.col("n_name").alias("label")), schema.NODE), e))
 
 
-@query("WITH v AS (SELECT DISTINCT user_id, event_type FROM events) SELECT user_id::VARCHAR AS file, 'p' AS pair, list_sort(list_filter(['click', 'purchase', 'signup'], lambda x: NOT list_contains(l, x))) AS missing FROM (SELECT user_id, list(event_type) AS l FROM v GROUP BY 1) WHERE list_has_any(l, ['click', 'purchase', 'signup']) AND NOT list_has_all(l, ['click', 'purchase', 'signup'])")
+@query("WITH v AS (SELECT DISTINCT user_id || '/' || date_trunc('day', ts)::DATE AS user_id, event_type FROM events) SELECT user_id AS file, 'p' AS pair, list_sort(list_filter(['click', 'purchase', 'signup'], lambda x: NOT list_contains(l, x))) AS missing FROM (SELECT user_id, list(event_type) AS l FROM v GROUP BY 1) WHERE list_has_any(l, ['click', 'purchase', 'signup']) AND NOT list_has_all(l, ['click', 'purchase', 'signup'])")
 def l8_lopsided_pairs(spark, sf_dir: str):
-    v = relational.tables(spark, sf_dir)("events").select(F.col("user_id").cast("string").alias("file"), F.col("event_type").alias("strategy"))
+    v = relational.tables(spark, sf_dir)("events").select(F.concat_ws("/", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("file"), F.col("event_type").alias("strategy"))
     return rules.lopsided_pairs(v, spark.createDataFrame([("p", ["click", "purchase", "signup"])], "pair string, strategies array<string>"))
 
 
@@ -510,7 +506,7 @@ def l9_custom(g: Graph):
 
 @query()
 def l1_lint(g: Graph):
-    return rules.lint(_calls(g))[0]
+    return rules.lint(g)[0]
 
 
 @query(sql("SELECT 'edges.' || src || '|' || dst || '|' || type AS path, 'from' AS field, 'unknown node ' || src AS message FROM e WHERE src NOT IN (SELECT id FROM n) UNION ALL SELECT 'edges.' || src || '|' || dst || '|' || type, 'to', 'unknown node ' || dst FROM e WHERE dst NOT IN (SELECT id FROM n WHERE type <> 'channel')"))
@@ -547,34 +543,42 @@ def _child_nodes(g: Graph) -> DataFrame:
     return g.nodes.filter("layer IS NOT NULL").withColumn("child", F.col("layer"))
 
 
-@query(sql("SELECT layer || chr(31) || id AS id, type FROM n WHERE layer IS NOT NULL"))
+@query(sql("SELECT 'shop' || chr(31) || id AS id, type FROM n UNION ALL SELECT 'shop' || chr(31) || src || '|shop' || chr(31) || dst, type FROM e"))
 def o5_prefix(g: Graph):
-    return _child_nodes(g).select(F.concat_ws(federation.SEP, "child", "id").alias("id"), "type")
+    p = federation.prefixed(g, "shop")
+    return p.nodes.select("id", "type").union(p.edges.select(F.concat_ws("|", "src", "dst"), "type"))
+
+
+def _regions(g: Graph) -> federation.Federation:
+    """A child for each region with its nations, suppliers and customers and the edges among them; the root has what belongs to none."""
+    g = Graph(cut(g.nodes), g.edges, g.meta)
+    names = [r.label for r in g.nodes.filter("type = 'boundary'").select("label").orderBy("label").collect()]  # a fixed table
+    inside = g.edges.join(g.nodes.select(F.col("id").alias("src"), F.col("layer").alias("a")), "src").join(g.nodes.select(F.col("id").alias("dst"), F.col("layer").alias("b")), "dst")
+    inside = cut(inside.withColumn("at", F.when(F.col("a").eqNullSafe(F.col("b")), F.coalesce("a", F.lit("")))).select(*g.edges.columns, "at"))
+    part = lambda n, key: Graph(g.nodes.filter(n), inside.filter(F.col("at") == key).drop("at"), g.meta)
+    return federation.Federation(part("layer IS NULL", ""), {r: part(F.col("layer") == r, r) for r in names})
 
 
-def _regions(g: Graph) -> dict[str, Graph]:
-    none = g.edges.limit(0)
-    return {r: Graph(g.nodes.filter(F.col("layer") == r), none) for r in ("ASIA", "EUROPE")}
+_CHILD = "home AS (SELECT e.src, e.dst, e.type, a.layer FROM e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst WHERE a.layer IS NOT DISTINCT FROM b.layer)"
 
 
-@query(sql("SELECT id, type FROM n WHERE type = 'boundary' UNION ALL SELECT layer || chr(31) || id, type FROM n WHERE layer IN ('ASIA', 'EUROPE')"))
+@query(sql("SELECT 'node' AS kind, CASE WHEN layer IS NULL THEN id ELSE layer || chr(31) || id END AS id, type FROM n UNION ALL SELECT DISTINCT 'edge', CASE WHEN layer IS NULL THEN src || '|' || dst ELSE layer || chr(31) || src || '|' || layer || chr(31) || dst END, type FROM home", _CHILD))
 def o4_merge(g: Graph):
-    root = Graph(g.nodes.filter("type = 'boundary'"), g.edges.limit(0))
-    return federation.Federation(root, _regions(g)).union().nodes.select("id", "type")
+    u = _regions(g).union()
+    return u.nodes.select(F.lit("node").alias("kind"), "id", "type").union(u.edges.select(F.lit("edge"), F.concat_ws("|", "src", "dst"), "type"))
 
 
 @query()
 def r9_federated_query(g: Graph):
-    root = Graph(g.nodes.filter("type = 'boundary'"), g.edges.limit(0))
-    return federation.Federation(root, _regions(g)).query("supplier", 30)
+    return _regions(g).query("supplier", 30)
 
 
-@query(sql("SELECT (row_number() OVER (ORDER BY c, k, id))::INT AS pos, child, id FROM (SELECT 0 AS c, '' AS child, s_suppkey AS k, 'supplier:' || s_suppkey AS id FROM supplier WHERE s_suppkey <= 3 UNION ALL SELECT 1, 'a', c_custkey, 'a' || chr(31) || 'customer:' || c_custkey FROM customer WHERE c_custkey <= 4) ORDER BY pos LIMIT 6"))
+@query(sql("SELECT (row_number() OVER (ORDER BY c, k, id))::INT AS pos, child, id FROM (SELECT 0 AS c, '' AS child, s_suppkey AS k, 'supplier:' || s_suppkey AS id FROM supplier UNION ALL SELECT 1, 'a', c_custkey, 'a' || chr(31) || 'customer:' || c_custkey FROM customer) ORDER BY pos LIMIT 400"))
 def o3_concatenated(spark, sf_dir: str):
     t = relational.tables(spark, sf_dir)
-    root = t("supplier").filter("s_suppkey <= 3").select(F.col("s_suppkey").alias("rank"), F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"))
-    one = t("customer").filter("c_custkey <= 4").select(F.col("c_custkey").alias("rank"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
-    return federation.concatenated(root, {"a": one}, 6)
+    root = t("supplier").select(F.col("s_suppkey").alias("rank"), F.concat(F.lit("supplier:"), F.col("s_suppkey").cast("string")).alias("id"))
+    one = t("customer").select(F.col("c_custkey").alias("rank"), F.concat(F.lit("customer:"), F.col("c_custkey").cast("string")).alias("id"))
+    return federation.concatenated(root, {"a": one}, 400)
 
 
 @query("SELECT DISTINCT c.r_name || chr(31) || 'call:' || o_custkey AS src, s.r_name || chr(31) || 'rpc:grpc:supply.m' || l_suppkey AS dst FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN (SELECT * FROM nation JOIN region ON r_regionkey = n_regionkey) c ON c_nationkey = c.n_nationkey JOIN supplier ON s_suppkey = l_suppkey JOIN (SELECT * FROM nation JOIN region ON r_regionkey = n_regionkey) s ON s_nationkey = s.n_nationkey WHERE c.r_name <> s.r_name")
@@ -685,16 +689,18 @@ def x5_overview(g: Graph):
     return export.overview(g)[0]
 
 
-@query("SELECT 'supplier:9' AS focus, count(*) AS n FROM (SELECT DISTINCT dst FROM (SELECT 'part:' || l_partkey AS dst FROM lineitem WHERE l_suppkey = 9))")
-def x1_mermaid(spark, sf_dir: str):
-    g = graph(spark, sf_dir)
-    text = export.export(Graph(g.nodes, g.edges.filter("type = 'produces'")), "mermaid", "supplier:9", 1)
-    return spark.createDataFrame([("supplier:9", text.count("|produces|"))], "focus string, n long")
+@query(sql("SELECT label, type, near FROM (SELECT n.label, e.type, m.label AS near FROM e JOIN n ON n.id = e.src JOIN n m ON m.id = e.dst WHERE e.src IN (SELECT id FROM reach) AND e.dst IN (SELECT id FROM reach))", _reach("SELECT 'supplier:9' AS id", 1, _BOTH)))
+def x1_mermaid(g: Graph):
+    """The lines of a diagram around a node, read back."""
+    text = export.export(g, "mermaid", "supplier:9", 1)
+    names = dict(re.findall(r'^\s*(\w+)\[+"?(.*?)"?\]+$', text, re.M))
+    rows = [(names[a], kind, names[b]) for a, kind, b in re.findall(r'^\s*(\w+) --+>\|"?(.*?)"?\| (\w+)$', text, re.M)]
+    return g.nodes.sparkSession.createDataFrame(rows, "label string, type string, near string")
 
 
 @query()
 def en1_fingerprints(g: Graph):
-    return enrich.fingerprints(Graph(g.nodes.filter("type IN ('boundary', 'deploy')"), g.edges)).select("id", "fingerprint")
+    return enrich.fingerprints(g).select("id", "fingerprint")
 
 
 @query("SELECT url AS file, sha256(html) AS sha FROM pages")

@@ -41,7 +41,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         t("customer").join(dim, F.expr("c_nationkey = n_nationkey")).select(_id("customer", "c_custkey").alias("id"), F.lit("entity").alias("type"), F.col("c_name").alias("label"), F.col("r_name").alias("layer"), F.col("c_mktsegment").alias("description")),
         t("orders").select(_id("order", "o_orderkey").alias("id"), F.lit("rpc").alias("type"), F.concat(F.lit("POST /orders/"), F.col("o_orderkey").cast("string")).alias("label"), F.lit("http").alias("protocol"), F.expr("CASE o_orderstatus WHEN 'F' THEN 'inbound' WHEN 'O' THEN 'outbound' ELSE 'internal' END").alias("boundary_kind"), F.expr("CASE WHEN substr(o_orderpriority, 1, 1) IN ('1', '2') THEN 'definite' WHEN substr(o_orderpriority, 1, 1) = '3' THEN 'inferred' ELSE 'speculative' END").alias("confidence")),
         t("part").select(_id("part", "p_partkey").alias("id"), F.lit("contract").alias("type"), F.col("p_name").alias("label"), F.concat("p_brand", F.lit(" "), "p_type").alias("description"), F.array("p_type").alias("exports")),
-        t("documents").select(_id("doc", "doc_id").alias("id"), F.lit("doc").alias("type"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("label"), F.lit("guide").alias("doc_kind"), F.col("lang").alias("language"), F.substring("text", 1, 200).alias("description")),
+        t("documents").select(_id("doc", "doc_id").alias("id"), F.lit("doc").alias("type"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("label"), F.lit("guide").alias("doc_kind"), F.col("lang").alias("language"), F.col("text").alias("description")),
         t("documents").select(F.concat(F.lit("src:"), F.col("source")).alias("id"), F.lit("package").alias("type"), F.col("source").alias("label")).distinct(),
         t("events").select(F.concat(F.lit("symbol:ev:"), F.col("user_id").cast("string"), F.lit("."), F.col("event_type")).alias("id"), F.lit("symbol").alias("type"), F.concat(F.col("user_id").cast("string"), F.lit("."), F.col("event_type")).alias("label")).distinct().withColumn("qualname", F.col("label")),
         t("events").filter("event_type = 'error'").select(F.lit("symbol:unresolved:error").alias("id"), F.lit("symbol").alias("type"), F.lit("error").alias("label"), F.lit("error").alias("qualname"), F.lit(False).alias("resolved")).distinct(),
@@ -97,7 +97,7 @@ SQL = "dim AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey), s
     _n("'customer:' || c_custkey AS id; 'entity' AS type; c_name AS label; r_name AS layer; c_mktsegment AS description", "customer JOIN dim ON c_nationkey = n_nationkey"),
     _n("'order:' || o_orderkey AS id; 'rpc' AS type; 'POST /orders/' || o_orderkey AS label; 'http' AS protocol; CASE o_orderstatus WHEN 'F' THEN 'inbound' WHEN 'O' THEN 'outbound' ELSE 'internal' END AS boundary_kind; CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 'definite' WHEN o_orderpriority[1] = '3' THEN 'inferred' ELSE 'speculative' END AS confidence", "orders"),
     _n("'part:' || p_partkey AS id; 'contract' AS type; p_name AS label; p_brand || ' ' || p_type AS description; [p_type] AS exports", "part"),
-    _n("'doc:' || doc_id AS id; 'doc' AS type; 'doc ' || doc_id AS label; 'guide' AS doc_kind; lang AS language; substr(text, 1, 200) AS description", "documents"),
+    _n("'doc:' || doc_id AS id; 'doc' AS type; 'doc ' || doc_id AS label; 'guide' AS doc_kind; lang AS language; text AS description", "documents"),
     _n("'src:' || source AS id; 'package' AS type; source AS label", "(SELECT DISTINCT source FROM documents)"),
     _n("'symbol:ev:' || user_id || '.' || event_type AS id; 'symbol' AS type; user_id || '.' || event_type AS label; user_id || '.' || event_type AS qualname", "(SELECT DISTINCT user_id, event_type FROM events)"),
     _n("'symbol:unresolved:error' AS id; 'symbol' AS type; 'error' AS label; 'error' AS qualname; false AS resolved", "(SELECT DISTINCT event_type FROM events WHERE event_type = 'error')"),

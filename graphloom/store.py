@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+BROADCAST_ROWS = 500_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -16,3 +20,22 @@ def cut(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="graphloom-"))
     return df.checkpoint(eager=True)
+
+
+def numbered(df: DataFrame, order: list, name: str = "pos", add: Column | None = None) -> DataFrame:
+    """df in a total order with its place from 1 (or the running sum of `add`) as `name`.
+
+    Range partitions number their own rows; what lies before each comes from a table of one row a partition.
+    """
+    line = cut(df.orderBy(*order).withColumn("__m", F.monotonically_increasing_id()))
+    part = F.shiftright("__m", 33)
+    one = F.lit(1).cast("bigint") if add is None else add
+    before = line.groupBy(part.alias("__p")).agg(F.sum(one).alias("__n"))
+    before = before.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__b"))
+    own = F.col("__m") - F.shiftleft(part, 33) + 1 if add is None else F.sum(add).over(Window.partitionBy("__p").orderBy("__m"))
+    return line.withColumn("__p", part).withColumn(name, own).join(F.broadcast(before), "__p").withColumn(name, F.col(name) + F.col("__b")).drop("__p", "__m", "__b")
+
+
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df, sent to every executor where its number of rows allows that."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
