@@ -19,6 +19,7 @@ from pyspark.sql.window import Window
 from .. import schema as S
 from ..functions import columns as C
 from ..model import Graph, aliases
+from ..store import cut
 from .traverse import incident, neighborhood, structural, trace_from
 
 
@@ -121,21 +122,22 @@ def query(g: Graph, term: str, limit: int = 20, roles: tuple[str, ...] = ()) ->
     base = base.withColumn("enriched", F.when(F.trim(F.coalesce(F.get_json_object("props_json", "$.enrichment.description"), F.lit(""))) != "", F.trim(F.get_json_object("props_json", "$.enrichment.description"))))
     base = base.withColumn("semantic", F.when(F.col("enriched").isNotNull(), _cosine(term, F.col("enriched"))))
     base = base.join(named.select("id", F.lit(True).alias("named")).distinct(), "id", "left")
-    every = Window.partitionBy()
-    base = base.withColumn("any_named", F.max(F.coalesce("named", F.lit(False))).over(every)).withColumn("any_strict", F.max(F.col("s") == len(gs)).over(every))
-    exact = F.col("any_strict") & (F.col("s") == len(gs))
-    fallback = ~F.col("any_strict") & (F.col("l") > 0) & F.lit(len(gs) > 1)
-    m = base.filter(F.when(F.col("any_named"), F.coalesce("named", F.lit(False))).otherwise(exact | fallback))
-    m = m.withColumn("degraded", ~F.col("any_named") & ~F.col("any_strict")).withColumn("groups_hit", F.when(F.col("degraded"), F.col("l")).otherwise(F.col("s")))
-    m = m.withColumn("top", F.max("bm25").over(every)).withColumn("nb", F.when(F.col("top") > 0, F.col("bm25") / F.col("top")).otherwise(0.0))
+    keep = ["id", "type", "label", "bm25", "structural", "authority", "confidence", "resolution", "roles", "s", "l", "named", "semantic"]
+    base = cut(base.select(*keep))  # matches only; scores are not computed again for the maxima
+    exact, some = F.col("s") == len(gs), (F.col("l") > 0) & F.lit(len(gs) > 1)
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    seen = base.agg(any_(F.coalesce("named", F.lit(False))).alias("any_named"), any_(exact).alias("any_strict")).first()
+    m = base.filter("named") if seen.any_named else base.filter(exact) if seen.any_strict else base.filter(some)
+    degraded = not seen.any_named and not seen.any_strict
+    m = m.withColumn("degraded", F.lit(degraded)).withColumn("groups_hit", F.col("l" if degraded else "s"))
+    top = m.agg(F.max("bm25").alias("bm25"), F.max("semantic").alias("semantic"), F.max("structural").alias("structural")).first()
     w = S.SIGNAL_WEIGHTS
-    on = {"bm25": F.max("nb").over(every) > 0, "semantic": F.max("semantic").over(every).isNotNull(), "structural": F.max("structural").over(every) > 0}
-    m = m.withColumn("authority_rel", C.authority_relevance()).withColumn("wsum", reduce(lambda a, b: a + b, [F.when(on[k], w[k]).otherwise(0.0) for k in on]) + w["authority"])
-    for k in on:
-        m = m.withColumn(f"on_{k}", on[k])
-    parts = {"bm25": F.col("nb"), "semantic": F.coalesce("semantic", F.lit(0.0)), "structural": F.col("structural"), "authority": F.col("authority_rel")}
-    total = reduce(lambda a, b: a + b, [F.when(F.col(f"on_{k}") if k in on else F.lit(True), parts[k] * w[k]).otherwise(0.0) for k in parts])
-    m = m.withColumn("score", F.round(total / F.col("wsum"), 9)).withColumn("bm25", F.round("bm25", 9))
+    on = {"bm25": (top.bm25 or 0) > 0, "semantic": top.semantic is not None, "structural": (top.structural or 0) > 0}
+    m = m.withColumn("authority_rel", C.authority_relevance())
+    parts = {"bm25": F.col("bm25") / (top.bm25 or 1.0), "semantic": F.coalesce("semantic", F.lit(0.0)), "structural": F.col("structural"), "authority": F.col("authority_rel")}
+    used = [k for k in parts if on.get(k, True)]
+    total = reduce(lambda a, b: a + b, [parts[k] * w[k] for k in used])
+    m = m.withColumn("score", F.round(total / sum(w[k] for k in used), 9)).withColumn("bm25", F.round("bm25", 9))
     order = [F.when(F.col("degraded"), -F.col("groups_hit")).otherwise(C.resolution_penalty()), F.when(F.col("degraded"), -F.col("bm25")).otherwise(-F.col("score")), F.when(F.col("degraded"), 0).otherwise(C.role_boost(roles)), F.when(F.col("degraded"), 0).otherwise(C.confidence_rank()), F.col("id")]
     top = m.orderBy(*order).limit(limit)
     top = top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
