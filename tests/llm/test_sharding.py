@@ -13,12 +13,16 @@ def corpus():
 
 
 def test_against_sql(spark):
-    rows = corpus()
-    documents = pd.DataFrame(rows, columns=["doc_id", "text", "source"])  # noqa: F841
-    want = duckdb.sql(S.ORACLE).fetchall()
-    cols = [d[0] for d in duckdb.sql(S.ORACLE).description]
-    got = S.shards(spark.createDataFrame(rows, "doc_id long, text string, source string")).select(*cols).collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    rows = [(i, t, "en", s, len(t)) for i, t, s in corpus()] + [(1, "x" * 40_000, "en", "hot", 7)] * 30
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"])  # noqa: F841
+    found = duckdb.sql(S.ORACLE)
+    want, cols = found.fetchall(), [d[0] for d in found.description]
+    out, name = S.sharded(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"))
+    assert name == "shard" and sorted(map(tuple, out.select(*cols).collect())) == sorted(want)
+    # partitions hold whole shards, in order
+    lines = out.select("shard", "source", "doc_id").rdd.glom().collect()
+    seen = [x for part in lines for x in sorted({r.shard for r in part})]
+    assert len(seen) == len(set(seen)) and all(part == sorted(part) for part in lines)
 
 
 def test_balance_and_order(spark):
@@ -38,6 +42,22 @@ def test_balance_and_order(spark):
 
 def test_write(spark, tmp_path):
     df = spark.createDataFrame(corpus()[:200], "doc_id long, text string, source string")
-    S.write(df, str(tmp_path / "out"), least=4)
+    assert S.write(df, str(tmp_path / "out"), least=4) == "shard"
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 200 and 1 < back.select("shard").distinct().count() <= 6
+
+
+def test_write_repeated_rows_nulls_and_clashing_names(spark, tmp_path):
+    rows = [(r[0], r[1], r[2], 5, "k") for r in corpus()[:40]]
+    rows += rows[:5] * 3 + [(None, None, None, 1, None), (None, "a", "hot", 1, None), (3, "y" * 300_000, "hot", 1, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int, key string")
+    assert (name := S.write(df, str(tmp_path / "out"), least=4)) == "shard_"
+    back = spark.read.parquet(str(tmp_path / "out")).select("doc_id", "text", "source", "shard", "key", name).collect()
+    order = lambda x: tuple((v is not None, v) for v in x)
+    assert sorted((tuple(r)[:5] for r in back), key=order) == sorted(rows, key=order)
+    alike = {}
+    for r in back:
+        alike.setdefault((r.doc_id, r.source, r.text), set()).add(r[name])
+    assert all(len(x) == 1 for x in alike.values())
+    assert {(r.doc_id, r.source): r.shard for r in S.shards(df, least=4).filter("doc_id = 0").selectExpr("doc_id", "key AS source", "shard").collect()} == {(r.doc_id, r.source): r[name] for r in back if r.doc_id == 0}
+    S.write(df.limit(0), str(tmp_path / "none"), least=4)
