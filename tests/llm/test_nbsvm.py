@@ -1,9 +1,11 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
 
 from graphloom.llm import nbsvm as N
+from graphloom.llm.text import Words, word_hash
 
 
 def corpus(n=600):
@@ -48,14 +50,67 @@ def test_one_class_and_no_labels(spark):
     assert N.train(docs, lab, "quality = 1")[1] == 1.0
 
 
-def test_dual_is_optimal():
-    """Where alpha is free the margin is 1; at 0 it is over, at c under."""
+def brute_fit(rows, y, c=1.0):
+    """Weights and bias by projected gradient ascent on the whole dual, with dense vectors."""
+    feats = sorted({f for r in rows for f in r.tolist()})
+    x = np.array([[f in set(r.tolist()) for f in feats] for r in rows], float)
+    size = 1 << N.BITS
+    p, q = x[y == 1].sum(0) + 1, x[y == -1].sum(0) + 1
+    ratio = np.log(p / (p.sum() + size - len(feats))) - np.log(q / (q.sum() + size - len(feats)))
+    z = np.c_[x * ratio, np.ones(len(x))] * y[:, None]
+    gram = z @ z.T
+    alpha, step = np.zeros(len(x)), 1 / np.linalg.norm(gram, 2)
+    for _ in range(60_000):
+        alpha = np.clip(alpha + step * (1 - gram @ alpha), 0, c)
+    w = z.T @ alpha
+    return dict(zip(feats, w[:-1] * ratio)), w[-1], alpha, z @ w
+
+
+def test_fit_against_brute_force():
+    """The dual's solution, and its optimality: margin 1 where alpha is free, over at 0, under at c."""
     rnd = np.random.default_rng(0)
     rows = [np.unique(rnd.integers(0, 60, 12)).astype(np.int32) for _ in range(80)]
     y = np.where([r[0] < 3 for r in rows], 1, -1)
-    w, b = N.fit(rows, y, epochs=400, least_docs=1)
-    margin = np.array([v * (w[r].sum() + b) for r, v in zip(rows, y)])
-    assert (margin > 0).mean() > 0.97
+    want, bias, alpha, margin = brute_fit(rows, y)
+    assert (margin[alpha < 1e-9] > 1 - 1e-3).all() and (margin[alpha > 1 - 1e-9] < 1 + 1e-3).all()
+    w, b = N.fit(rows, y, epochs=2000, least_docs=1)
+    assert abs(b - bias) < 0.02 and max(abs(w[f] - v) for f, v in want.items()) < 0.02
+    got = np.array([v * (w[r].sum() + b) for r, v in zip(rows, y)])
+    free = (alpha > 1e-3) & (alpha < 1 - 1e-3)
+    assert free.any() and np.abs(got[free] - 1).max() < 0.02 and np.abs(got - margin).max() < 0.05
+
+
+def brute_features(t):
+    """Bins by a walk over the characters of a text."""
+    found, low, word = set(), t.lower(), r"[a-z0-9_\x80-\U0010ffff]+"
+    h = lambda x: np.array([word_hash(x)], np.uint64)
+    words = re.findall(word, low)
+    found |= {(1, int(N._bins(h(w), 1)[0])) for w in words}
+    found |= {(2, int(N._bins(h(a) * np.uint64(3) + h(b), 2)[0])) for a, b in zip(words, words[1:])}
+    for run in re.findall(r"[!-/:-@\[-^`{-~]+", t):
+        raw = np.frombuffer(run.encode(), np.uint8)
+        found.add((3, int(N._bins(Words.of_bytes(raw, np.array([0, len(raw)]), N._PUNCT).hashes, 3)[0])))
+    for w in re.findall(word, t, re.I):
+        raw = np.frombuffer("".join("A" if "A" <= x <= "Z" else "0" if x.isdigit() and x.isascii() else "_" if x == "_" else "a" if x.isascii() else "a" * len(x.encode()) for x in w).encode(), np.uint8)
+        found.add((4, int(N._bins(Words.of_bytes(raw, np.array([0, len(raw)])).hashes, 4)[0])))
+    if len(words):
+        again = sum(a == b for a, b in zip(words, words[1:])) / len(words)
+        k = 0 if again == 0 else 1 + sum(again >= x for x in (0.02, 0.05, 0.2))
+        found.add((5, int(N._bins(np.array([k], np.uint64), 5)[0])))
+    return {f for _, f in found}
+
+
+def test_query_against_brute_force(spark):
+    rows, labels = corpus(240)
+    rows = rows + [(500, "naïve Ünit_7 x-y !! {a} b.c"), (501, "w1 w1 w1 w2 w3"), (502, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    heads = N.train(docs, lab, "quality = 0"), N.train(docs, lab, "toxic = 1")
+    for r in N.classify(docs, *heads).collect():
+        t = dict(rows)[r.doc_id]
+        want = [sum(float(w[f]) for f in brute_features(t)) + b for w, b in heads] if t else [None, None]
+        assert (r.low_quality, r.toxic) == (None, None) if not t else np.allclose((r.low_quality, r.toxic), want, atol=1e-4)
+        assert r.keep == bool(t and max(want) < 0)
 
 
 def test_features_are_distinct_and_local():
