@@ -113,9 +113,11 @@ def audit(g: Graph, bodies: DataFrame | None = None) -> DataFrame:
     named = e.withColumn("n", norm(F.col("name"))).withColumn("d", norm(F.col("description")))
     rendered = g.edges.filter("type = 'generated_from'").select("src", "dst")
     out = []
-    pairs = named.select("type", "n", F.col("id").alias("a")).join(named.select("type", "n", F.col("id").alias("b")), ["type", "n"]).filter("a < b")
-    linked = rendered.union(rendered.select("dst", "src")).distinct()
-    loose = pairs.join(linked, (F.col("a") == F.col("src")) & (F.col("b") == F.col("dst")), "left_anti").select("type", "n").distinct()
+    # a name is told twice where fewer pairs of it are linked than there are
+    ends = named.select("id", "type", "n")
+    linked = rendered.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).filter("a <> b").distinct()
+    linked = linked.join(ends.withColumnRenamed("id", "a"), "a").join(ends.withColumnRenamed("id", "b"), ["b", "type", "n"]).groupBy("type", "n").agg(F.count("*").alias("tied"))
+    loose = ends.groupBy("type", "n").agg(F.count_distinct("id").alias("k")).join(linked, ["type", "n"], "left").filter("k * (k - 1) / 2 > coalesce(tied, 0)").select("type", "n")
     out.append(_finding(named.join(loose, ["type", "n"], "left_semi").groupBy("type", "n").agg(F.collect_set("id").alias("node_ids")), "duplicate_name"))
     out.append(_finding(named.filter(F.col("type").isin(*RESPONSIBLE) & (F.col("d") != "")).groupBy("d").agg(F.collect_set("id").alias("node_ids")).filter("size(node_ids) > 1"), "responsibility_overlap"))
     scope = g.edges.filter("type = 'applies_to_path'").join(g.nodes.select(F.col("id").alias("dst")), "dst", "left_semi")

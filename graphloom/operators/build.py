@@ -156,7 +156,8 @@ def mentions(commands: DataFrame, agents: DataFrame) -> DataFrame:
     rest = cut(a.filter("word IS NULL").select("dst", "n", F.substring("n", 1, 3).alias("head")))
     if not rest.isEmpty():
         sizes = [r[0] for r in rest.select(F.length("head")).distinct().collect()]  # 1 to 3
-        heads = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - (k - 1), F.lit(1))), lambda i, k=k: F.substr("t", i, F.lit(k))) for k in sizes]
+        at = lambda k: lambda i: F.substr(F.col("t"), i, F.lit(k))
+        heads = [F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - (k - 1), F.lit(1))), at(k)) for k in sizes]
         by_head = c.filter("t <> ''").select("src", "t", F.explode(F.array_distinct(F.flatten(F.array(*heads)))).alias("head")).join(rest, "head")
         out = out.union(by_head.filter(F.col("t").contains(F.col("n"))).select("src", "dst"))
     return out.select("src", "dst", F.lit("invokes").alias("type"), F.lit("{}").alias("props_json"))

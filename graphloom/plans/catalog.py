@@ -11,7 +11,7 @@ from .. import export, schema
 from ..functions import columns as C
 from ..model import Graph, fill, resolve
 from ..operators import agents, build, communities, enrich, federation, retrieve, rules, stats, traverse
-from ..sources import files, relational, strategies
+from ..sources import files, relational
 from ..sources.relational import graph, sql
 from ..store import cut
 from ..streaming import watch
@@ -661,11 +661,6 @@ def ag2_impact(spark, sf_dir: str):
     return agents.impact(assets(spark, sf_dir), "agent:5")
 
 
-@query()
-def ag3_audit(spark, sf_dir: str):
-    return agents.audit(assets(spark, sf_dir))
-
-
 @query("SELECT ['skill:' || p_partkey] AS node_ids FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 40)")
 def ag3_unused_skills(spark, sf_dir: str):
     return agents.audit(assets(spark, sf_dir)).filter("code = 'unused_skill'").select("node_ids")
@@ -708,13 +703,10 @@ def di3_hashes(spark, sf_dir: str):
     return files.hashes(relational.tables(spark, sf_dir)("pages").select(F.col("url").alias("path"), F.col("html").cast("binary").alias("content"))).select(F.col("path").alias("file"), "sha")
 
 
-@query()
-def s_markdown(spark, sf_dir: str):
-    d = relational.tables(spark, sf_dir)("documents").select(F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("# T\n\n## Setup\n"), "text").alias("text"))
-    return strategies.run("markdown", d).select("kind", "id", "type", "src", "dst")
-
-
 @query("WITH s AS (SELECT user_id, ts, value, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b, event_type FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s) SELECT user_id, min(ts) AS start, list_sort(list(DISTINCT event_type)) AS paths, count(*) AS n FROM g GROUP BY user_id, k")
 def w1_bursts(spark, sf_dir: str):
     e = relational.tables(spark, sf_dir)("events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("path"))
     return watch.bursts(e, "6 hours", keys=("user_id",)).select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "paths", "n")
+
+
+from . import building  # noqa: E402, F401  registers further queries

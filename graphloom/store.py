@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,13 +14,25 @@ BROADCAST_ROWS = 500_000
 
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in spark.checkpoint.dir, which survives the loss of executors; a temporary folder stands in where Spark runs on one machine and the setting is unset."""
-    sc = df.sparkSession.sparkContext
-    at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    sc, at = spark.sparkContext, spark.conf.get("spark.checkpoint.dir", None)
     if not sc.getCheckpointDir():
-        if not at and not sc.master.startswith("local"):
+        if not at and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="graphloom-"))
-    return df.checkpoint(eager=True)
+    return at or sc.getCheckpointDir()
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    at = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return at
 
 
 def numbered(df: DataFrame, order: list, name: str = "pos", add: Column | None = None) -> DataFrame:
