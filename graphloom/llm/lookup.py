@@ -50,6 +50,16 @@ def trim() -> None:
         libc.malloc_trim(0)
 
 
+def trimmed(make):
+    """make (batches to batches), giving freed memory back when its task ends."""
+
+    def run(batches):
+        yield from make(batches)
+        trim()
+
+    return run
+
+
 def bounds(parts: int, bits: int = 64) -> np.ndarray:
     """The first key of each part but the first, of keys under 2**bits."""
     return np.array([-(-(p << bits) // parts) for p in range(1, parts)], np.uint64)

@@ -45,7 +45,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import components, forest
 from .elias_fano import save
-from .lookup import Lookup, bounds, folder, pack, pack_any, sorted_with_places, trim, unpack, unpack_any, write
+from .lookup import Lookup, bounds, folder, pack, pack_any, sorted_with_places, trim, trimmed, unpack, unpack_any, write
 from .store import cut, table
 from .text import Words, grams, mix, mix_int, slices
 
@@ -264,7 +264,7 @@ def _candidates(texts: DataFrame, n: int, t: float, how: tuple[str, int, int]) -
         yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["a", "b"])
 
     rows = texts.mapInArrow(emit, "part int, key binary, own binary, info binary").repartition(parts, F.col("part"))
-    return rows.mapInArrow(tie, "a long, b long")
+    return rows.mapInArrow(trimmed(tie), "a long, b long")
 
 
 def sketches(g: np.ndarray, off: np.ndarray, words: int) -> np.ndarray:
@@ -418,7 +418,7 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
                 yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(side), pa.array(np.full(q, f[i])), pa.array(np.full(q, count[k])), pa.array([data] * q, pa.binary())], ["cell", "side", "f", "docs", "grams"])
 
     cells = texts.mapInArrow(_few_batches(members), "cell long, side int, f long, docs long, grams binary").repartition("cell").sortWithinPartitions("cell")
-    found = cut(cells.mapInArrow(_compare(t), "f long, root long, links long"))
+    found = cut(cells.mapInArrow(trimmed(_compare(t)), "f long, root long, links long"))
     shutil.rmtree(at, ignore_errors=True)
     tied = components(found.select(F.col("f").alias("a"), F.col("root").alias("b"))).select(F.col("node").alias("f"), "root")
     count = found.groupBy("f").agg(F.sum("links").alias("links"))
@@ -482,7 +482,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n:
 
     # a null id never hashes to what was dropped: it is left out by the flag below
     hashed = docs.withColumn(tag, F.when(F.col(id_col).isNotNull(), F.xxhash64(F.col(id_col), F.col(text))).otherwise(F.lit(0)))
-    return hashed.mapInArrow(run, schema)
+    return hashed.mapInArrow(trimmed(run), schema)
 
 
 def op6_jaccard_join(spark, sf_dir: str) -> DataFrame:

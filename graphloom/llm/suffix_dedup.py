@@ -28,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lookup import trimmed
 from .store import table
 from .text import Words, mix, mix_int, slices
 
@@ -336,13 +337,13 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: i
     """
     gram = min(gram, length)
     src = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"), _key(id_col, text).alias("k")).filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    marks = src.select("k", "text").mapInArrow(_anchors(length, gram), "fp long, k long, pos int").repartition("fp").mapInArrow(_repeated, "k long, pos int, fp long")
+    marks = src.select("k", "text").mapInArrow(trimmed(_anchors(length, gram)), "fp long, k long, pos int").repartition("fp").mapInArrow(trimmed(_repeated), "k long, pos int, fp long")
     marks = marks.groupBy("k").agg(F.collect_list("pos").alias("pos"), F.min("fp").alias("home"))
     some = src.join(marks, "k").dropDuplicates(["k"]).repartition("home").select("k", "doc_id", "text", "pos")
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    wins = some.mapInArrow(_shards(length, gram, buckets, shard_words), "bucket int, fp binary, idx binary, pos binary, cnt binary, k array<long>, doc array<long>, runs binary")
-    found = wins.repartition("bucket").mapInArrow(_merge(length, with_first), "k long, doc_id long, removed boolean, runs binary")
-    return found.repartition("k").mapInArrow(_spans, "k long, doc_id long, removed boolean, starts array<int>, ends array<int>")
+    wins = some.mapInArrow(trimmed(_shards(length, gram, buckets, shard_words)), "bucket int, fp binary, idx binary, pos binary, cnt binary, k array<long>, doc array<long>, runs binary")
+    found = wins.repartition("bucket").mapInArrow(trimmed(_merge(length, with_first)), "k long, doc_id long, removed boolean, runs binary")
+    return found.repartition("k").mapInArrow(trimmed(_spans), "k long, doc_id long, removed boolean, starts array<int>, ends array<int>")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, shard_words: int = SHARD_WORDS) -> DataFrame:
@@ -390,7 +391,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     cutting = spans(docs, id_col, text, length, gram, False).filter("removed").select(F.col("k").alias(tag), F.col("starts").alias(tag + "s"), F.col("ends").alias(tag + "e"))
     both = docs.withColumn(tag, F.when(F.col(id_col).isNotNull() & F.col(text).isNotNull(), _key(id_col, text))).join(cutting, tag, "left").drop(tag)
     both = both.select(*docs.columns, tag + "s", tag + "e")
-    return both.mapInArrow(_cutter(text, n_chars if n_chars in docs.columns else None, tag + "s", tag + "e"), docs.schema)
+    return both.mapInArrow(trimmed(_cutter(text, n_chars if n_chars in docs.columns else None, tag + "s", tag + "e")), docs.schema)
 
 
 def op9_suffix_dedup(spark, sf_dir: str) -> DataFrame:
