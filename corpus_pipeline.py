@@ -45,10 +45,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again.
+
+    What a stage wrote is deleted once the next one is through, the last one's when the driver ends.
+    """
     at = f"{store.shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = store.table(spark, sf_dir, "documents")
+    folder = spark._jvm.org.apache.hadoop.fs.Path
+    files = folder(at).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(folder(at))
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{i}")
         docs = spark.read.parquet(f"{at}/{i}")
+        if i:
+            files.delete(folder(f"{at}/{i - 1}"), True)
     return docs
