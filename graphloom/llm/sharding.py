@@ -148,7 +148,8 @@ def sharded(docs: DataFrame, id_col: str = "doc_id", key: str = "source", text:
     own = docs.withColumn(k, F.col(key).cast("string")).withColumn(i, F.col(id_col).cast("bigint")).withColumn(z, F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint"))
     out = _placed(own, made, k, i, z, names["shard"])
     line = [F.col(names["shard"]), F.col(k).asc_nulls_first(), F.col(i).asc_nulls_first(), F.col(z)]
-    return out.repartition(max(1, made.base[-1]), names["shard"]).sortWithinPartitions(*line).drop(k, i, z), names["shard"]
+    # one task a shard, by its number; hashing would put several into one
+    return out.repartitionById(max(1, made.base[-1]), names["shard"]).sortWithinPartitions(*line).drop(k, i, z), names["shard"]
 
 
 def write(docs: DataFrame, path: str, id_col: str = "doc_id", key: str = "source", text: str = "text", **how) -> str:

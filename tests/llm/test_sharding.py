@@ -23,6 +23,7 @@ def test_against_sql(spark):
     lines = out.select("shard", "source", "doc_id").rdd.glom().collect()
     seen = [x for part in lines for x in sorted({r.shard for r in part})]
     assert len(seen) == len(set(seen)) and all(part == sorted(part) for part in lines)
+    assert all(len({r.shard for r in part}) <= 1 for part in lines)
 
 
 def test_balance_and_order(spark):
