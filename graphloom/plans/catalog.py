@@ -265,7 +265,7 @@ def g13_cycles(g: Graph):
     return communities.cycles(g)
 
 
-@query(sql("SELECT id, min(r)::VARCHAR AS component FROM (SELECT id, r FROM walk) GROUP BY id", "und AS MATERIALIZED (SELECT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst), walk AS (SELECT a AS id, a AS r FROM (SELECT DISTINCT a FROM und) WHERE NOT EXISTS (SELECT 1 FROM und u WHERE u.a = id AND u.b < id) UNION SELECT und.b, walk.r FROM walk JOIN und ON und.a = walk.id)"))
+@query()
 def g13_components(g: Graph):
     return communities.components(g.edges.select(F.col("src").alias("a"), F.col("dst").alias("b")))
 
