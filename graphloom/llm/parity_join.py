@@ -17,8 +17,10 @@ it and match nothing, so most texts have no bits left to join on; which n-grams
 log2(all n-grams) + SPARE bits, so about one n-gram of 2**SPARE is taken for a frequent one, which costs
 time and loses nothing).
 
-Sets that share such a bit within neighbouring size bands are linked, not paired: each batch of texts
-and then each range of bits keeps a spanning forest, so a bit of very many texts is one entry a batch.
+Sets that share such a bit are linked only where their sketches, of 4 to 8 bits an n-gram, leave the
+similarity possible: else chance alone ties most of a large table into one component. The sketches lie in
+files of the shared folder, which the tasks that see a bit's sets map. Two sets that other links tie
+already need no link of their own, so a bit of many near copies costs about one test a set.
 Connected components of the links are compared within tasks, a component of more than BLOCK n-grams or
 SETS sets in blocks, each block with each. There sketches of some thousand bits rule out pairs by their
 Hamming distance, and the rest is verified on the whole sets. Pairs never leave a task: it gives each
@@ -35,6 +37,7 @@ whatever their names.
 from __future__ import annotations
 
 import shutil
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -44,7 +47,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .components import components, forest
-from .elias_fano import save
+from .elias_fano import load, save
 from .lookup import Lookup, bounds, folder, pack, pack_any, sorted_with_places, trim, trimmed, unpack, unpack_any, write
 from .store import cut, table
 from .text import Words, grams, mix, mix_int, slices
@@ -52,6 +55,7 @@ from .text import Words, grams, mix, mix_int, slices
 NGRAM, THRESHOLD = 3, 0.5
 SPARE, BATCH, STEPS = 10, 600_000, 16  # n-grams of a batch that is looked up at once
 BLOCK, SETS, TILE = 800_000, 4096, 512
+SHIFTS, STRETCH, PAIRS = 32, 100_000, 1 << 20  # neighbours tested first; bits, and pairs, taken at once
 _KEY = np.uint64(8)  # keys are the upper 56 bits
 
 
@@ -195,31 +199,90 @@ def bands(size: np.ndarray, t: float) -> np.ndarray:
     return np.minimum(np.floor(np.log(np.maximum(size, 1)) / np.log(1 / t) + 1e-9), 255).astype(np.int64) if t < 1 else np.zeros(len(size), np.int64)
 
 
-def links(key: np.ndarray, band: np.ndarray, smaller: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges between `own` that tie all sets which share a key and may be a pair: in one band or the next, one as the smaller side."""
-    code = (key << np.uint64(8)) | band.astype(np.uint64)
-    heads, at = np.unique(code[smaller], return_index=True)
-    head_of = own[smaller][at]
-    a, b = [np.zeros(0, own.dtype)], [np.zeros(0, own.dtype)]
-    if len(heads):
-        for back in (0, 1):
-            x = code - np.uint64(back)
-            use = band >= back
-            i = np.minimum(np.searchsorted(heads, x), len(heads) - 1)
-            ok = use & (heads[i] == x)
-            a.append(own[ok]), b.append(head_of[i[ok]])
-    a, b = np.concatenate(a), np.concatenate(b)
-    return a[a != b], b[a != b]
-
-
-def _candidates(texts: DataFrame, n: int, t: float, how: tuple[str, int, int]) -> DataFrame:
-    """(a, b): edges that connect all pairs of similarity t, by fingerprint."""
+def widths(size: np.ndarray) -> np.ndarray:
+    """The words of the sketch that links are tested by: a power of two, so that wide ones fold, of 4 bits an n-gram or more."""
+    return np.int64(1) << np.ceil(np.log2(np.maximum(size, 16) / 16)).astype(np.int64)
+
+
+def near(flat: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, t: float) -> np.ndarray:
+    """Whether the sketches of the sets a and b, at `start` in flat, leave a similarity of t possible; it never denies a pair that has it."""
+    out, words = np.zeros(len(a), bool), widths(size)
+    for code in np.unique(words[a] << 32 | words[b]):
+        wide, slim = max(code >> 32, code & 0xFFFFFFFF), min(code >> 32, code & 0xFFFFFFFF)
+        which = np.flatnonzero((words[a] << 32 | words[b]) == code)
+        step = max(1, (PAIRS >> 1) // wide)
+        for k in (which[i : i + step] for i in range(0, len(which), step)):
+            x, y = (np.bitwise_xor.reduce(flat[start[s][:, None] + np.arange(words[s[0]])].reshape(len(s), -1, slim), axis=1) for s in (a[k], b[k]))
+            out[k] = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= (1 - t) / (1 + t) * (size[a[k]] + size[b[k]]) + 1e-9
+    return out
+
+
+class Ties:
+    """Sets tied by links that sketches allow; test(a, b) gives for sets of one size range whether they may be similar."""
+
+    def __init__(self, size: np.ndarray, t: float):
+        self.size, self.t, self.parent = size, t, np.arange(len(size))
+
+    def root(self, x: np.ndarray) -> np.ndarray:
+        r = self.parent[x]
+        while ((up := self.parent[r]) != r).any():
+            r = up
+        return r
+
+    def _test(self, a: np.ndarray, b: np.ndarray, test) -> None:
+        apart = self.root(a) != self.root(b)
+        if apart.any():
+            pairs = np.unique(np.minimum(a, b)[apart] * len(self.size) + np.maximum(a, b)[apart])
+            a, b = pairs // len(self.size), pairs % len(self.size)
+            ok = test(a, b)
+            nodes, roots = forest(self.root(a[ok]), self.root(b[ok]))
+            self.parent[nodes] = roots
+
+    def add(self, key: np.ndarray, own: np.ndarray, smaller: np.ndarray, test) -> None:
+        """Afterwards all sets of one key that may be a pair, the smaller one as such, are tied."""
+        order = np.lexsort((own, self.size[own], key))
+        key, own, smaller = key[order], own[order], smaller[order]
+        size = self.size[own]
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[head, len(key)])
+        end = np.repeat(head + count, count)
+
+        def may(i, j):  # i before j in the order of sizes
+            return (size[i] >= self.t * size[j] - 1e-9) & (smaller[i] | (smaller[j] & (size[i] == size[j])))
+
+        i = np.arange(len(key))
+        for d in range(1, SHIFTS + 1):
+            i = i[i + d < end[i]]
+            if not len(i):
+                return
+            use = i[may(i, i + d)]
+            self._test(own[use], own[use + d], test)
+        root = self.root(own)
+        many = np.flatnonzero((count > SHIFTS + 1) & (np.minimum.reduceat(root, head) != np.maximum.reduceat(root, head)))
+        for lo, n in zip(head[many].tolist(), count[many].tolist()):
+            # those of the largest tied group are pairs of others only
+            root = self.root(own[lo : lo + n])
+            r, at, c = np.unique(root, return_inverse=True, return_counts=True)
+            rest = at != np.argmax(c)
+            place = np.arange(n)
+            step = max(1, PAIRS // n)
+            for some in (x[i : i + step] for x in [np.flatnonzero(rest)] for i in range(0, len(x), step)):
+                x, y = np.nonzero(~rest[None, :] | (place[None, :] > some[:, None]))
+                x, y = lo + np.minimum(some[x], y), lo + np.maximum(some[x], y)
+                ok = may(x, y)
+                self._test(own[x[ok]], own[y[ok]], test)
+
+
+def _candidates(texts: DataFrame, n: int, t: float, how: tuple[str, int, int]) -> tuple[DataFrame, str]:
+    """((a, b): edges that connect all pairs of similarity t, by fingerprint; folder of sketches that computing them reads)."""
     at, table_parts, bits = how
     parts = max(texts.sparkSession.sparkContext.defaultParallelism, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     cuts = bounds(parts, 56)
+    drawn = folder(texts.sparkSession, "sketches")
 
     def emit(batches):
         table = Lookup(at, table_parts, bits)
+        name, kept, before = uuid.uuid4().hex, [], 0  # a task that is run again writes, and names, another file
         for g, off, f in _batches(batches, n):
             if not len(f):
                 continue
@@ -228,43 +291,82 @@ def _candidates(texts: DataFrame, n: int, t: float, how: tuple[str, int, int]) -
             level = np.zeros(len(g), np.int64)
             level[place] = np.where(found, np.maximum(lv, 1), 0)
             d, i, smaller = joined_bits(g, off, level, t)
-            key = mix(g[i]) >> _KEY
-            band = bands(np.diff(off)[d], t)
-            a, b = links(key, band, smaller, d)
-            root = np.arange(len(f))
-            if len(a):
-                nodes, roots = forest(a, b)
-                root[nodes] = roots
-            # sets that are tied already stand for each other
-            own, info = f[root[d]], band.astype(np.uint64) << np.uint64(1) | smaller.astype(np.uint64)
-            order = np.lexsort((own, info, key))
-            key, own, info = key[order], own[order], info[order]
-            if len(key):
-                new = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1]) | (info[1:] != info[:-1])]
-                key, own, info = key[new], own[new], info[new]
+            if not len(d):
+                continue
+            use, own = np.unique(d, return_inverse=True)
+            size = np.diff(off)[use]
+            words = widths(size)
+            start = np.cumsum(words) - words
+            flat = np.zeros(int(words.sum()), np.uint64)
+            for w in np.unique(words):
+                which = np.flatnonzero(words == w)
+                step = max(1, (PAIRS >> 6) // int(w))
+                for k in (which[x : x + step] for x in range(0, len(which), step)):
+                    flat[start[k][:, None] + np.arange(w)] = _sketch_of(g, off, use[k], int(w))
+            key, info = mix(g[i]) >> _KEY, ((before + own).astype(np.uint64) << np.uint64(1)) | smaller.astype(np.uint64)
+            kept.append((f[use], size, flat))
+            before += len(use)
+            order = np.argsort(key, kind="stable")
+            key, info = key[order], info[order]
             ends = np.r_[0, np.searchsorted(key, cuts), len(key)]
-            rows = [(p, pack(key[x:y]), own[x:y].tobytes(), pack_any(info[x:y])) for p, (x, y) in enumerate(zip(ends, ends[1:])) if x < y]
-            tied = np.flatnonzero(root != np.arange(len(f)))
-            if len(tied):
-                rows.append((int(f[tied[0]] & 0x7FFFFFFF) % parts, f[tied].tobytes(), f[root[tied]].tobytes(), None))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["part", "key", "own", "info"])
+            rows = [(p, name, pack(key[x:y]), pack_any(info[x:y])) for p, (x, y) in enumerate(zip(ends, ends[1:])) if x < y]
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], ["part", "file", "key", "info"])
+        if kept:
+            f, size, flat = (np.concatenate(x) for x in zip(*kept))
+            words = widths(size)
+            save(f"{drawn}/{name}", {"f": f, "size": size, "start": np.cumsum(words) - words, "sketch": flat})
 
     def tie(batches):
-        key, own, info, a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        key, info, own, names = [], [], [], {}
         for batch in batches:
-            for k, o, i in zip(*(batch.column(x).to_pylist() for x in ("key", "own", "info"))):
-                if i is None:
-                    a.append(np.frombuffer(k, np.int64)), b.append(np.frombuffer(o, np.int64))
-                else:
-                    key.append(unpack(k)), own.append(np.frombuffer(o, np.int64)), info.append(unpack_any(i))
-        key, own, info = np.concatenate(key), np.concatenate(own), np.concatenate(info)
-        x, y = links(key, (info >> np.uint64(1)).astype(np.int64), (info & np.uint64(1)).astype(bool), own)
-        nodes, roots = forest(np.concatenate([*a, x]), np.concatenate([*b, y]))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], ["a", "b"])
-
-    rows = texts.mapInArrow(emit, "part int, key binary, own binary, info binary").repartition(parts, F.col("part"))
-    return rows.mapInArrow(trimmed(tie), "a long, b long")
+            for name, k, i in zip(*(batch.column(x).to_pylist() for x in ("file", "key", "info"))):
+                key.append(unpack(k)), info.append(unpack_any(i))
+                own.append((names.setdefault(name, len(names)) << 40) + (info[-1] >> np.uint64(1)).astype(np.int64))
+                info[-1] = (info[-1] & np.uint64(1)).astype(bool)
+        if not key:
+            return
+        key, smaller, own = np.concatenate(key), np.concatenate(info), np.concatenate(own)
+        files = [load(f"{drawn}/{name}") for name in names]
+
+        def taken(sets, column):
+            return np.concatenate([files[i][column][s] for i, s in each(sets)])
+
+        def each(sets):  # in ascending order
+            ends = np.searchsorted(sets, np.arange(len(files) + 1) << 40)
+            return [(i, sets[x:y] - (i << 40)) for i, (x, y) in enumerate(zip(ends, ends[1:])) if x < y]
+
+        sets, own = np.unique(own, return_inverse=True)
+        f, first, same = np.unique(taken(sets, "f"), return_index=True, return_inverse=True)  # equal sets of several batches
+        own = same[own]
+        ties = Ties(taken(sets, "size")[first], t)
+        order = np.lexsort((own, key))
+        key, own, smaller = key[order], own[order], smaller[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
+        key, own, smaller = key[new], own[new], smaller[new]
+        head = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[head, len(key)])
+        shared = np.repeat(count > 1, count)
+        key, own, smaller = key[shared], own[shared], smaller[shared]
+        lo = 0
+        while lo < len(key):
+            hi = int(np.searchsorted(key, key[min(lo + STRETCH, len(key)) - 1], "right"))
+            here = np.unique(own[lo:hi])
+            where = np.sort(sets[first[here]])
+            pieces = []
+            for i, s in each(where):
+                begin, w = files[i]["start"][s], widths(files[i]["size"][s])
+                pieces.append(files[i]["sketch"][np.repeat(begin - (np.cumsum(w) - w), w) + np.arange(w.sum())])
+            flat, w = np.concatenate(pieces), widths(taken(where, "size"))
+            begin = (np.cumsum(w) - w)[np.searchsorted(where, sets[first[here]])]
+            size = ties.size[here]
+            ties.add(key[lo:hi], own[lo:hi], smaller[lo:hi], lambda a, b: near(flat, begin, size, np.searchsorted(here, a), np.searchsorted(here, b), t))
+            lo = hi
+        root = ties.root(np.arange(len(f)))
+        tied = np.flatnonzero(root != np.arange(len(f)))
+        yield pa.RecordBatch.from_arrays([pa.array(f[tied]), pa.array(f[root[tied]])], ["a", "b"])
+
+    rows = texts.mapInArrow(emit, "part int, file string, key binary, info binary").repartition(parts, F.col("part"))
+    return rows.mapInArrow(trimmed(tie), "a long, b long"), drawn
 
 
 def sketches(g: np.ndarray, off: np.ndarray, words: int) -> np.ndarray:
@@ -396,8 +498,10 @@ def linked(docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int =
     total = classes.agg(F.sum("n")).first()[0] or 0
     texts = src.filter("text IS NOT NULL").select("text")
     how = _frequent(texts, n, total)
-    group = cut(components(_candidates(texts, n, t, how)))
-    shutil.rmtree(how[0], ignore_errors=True)
+    edges, drawn = _candidates(texts, n, t, how)
+    group = cut(components(edges))
+    for used in (how[0], drawn):
+        shutil.rmtree(used, ignore_errors=True)
     member = classes.select("f", "docs", "n").join(group.select(F.col("node").alias("f"), "root"), "f")
     size = member.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / F.lit(block)), F.ceil(F.count("*") / F.lit(sets))).alias("blocks"))
     member = member.join(size, "root").select("f", "docs", "root", F.col("blocks").cast("bigint").alias("blocks"))

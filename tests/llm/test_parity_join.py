@@ -183,3 +183,61 @@ def test_similar_sets_share_a_joined_bit(t):
         g = np.r_[x, y][i]
         assert np.isin(g[(d == 0) & smaller], g[d == 1]).any()
         assert abs(P.bands(np.array([n]), t)[0] - P.bands(np.array([m]), t)[0]) <= 1
+
+
+def test_chance_ties_no_texts(spark):
+    """Texts that share each of their phrases with another text, and no two of them more than one, stay apart; near copies don't."""
+    rnd = random.Random(4)
+    texts = [[] for _ in range(60)]
+    for p, (a, b) in enumerate({tuple(sorted(rnd.sample(range(60), 2))) for _ in range(400)}):
+        for k in (a, b):
+            texts[k].append(" ".join(f"p{p}x{j}" for j in range(9)))
+    texts = [" ".join(t) for t in texts]
+    texts.append(texts[0] + " end")
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    how = P._frequent(df, 3, sum(len(t.split()) - 2 for t in texts))
+    edges, _ = P._candidates(df, 3, 0.5, how)
+    assert edges.filter("a <> b").distinct().count() == 1
+    rows = list(enumerate(texts))
+    assert got_rows(P.join(spark.createDataFrame(rows, "doc_id long, text string"))) == brute_rows(rows, 3, 0.5)
+
+
+def test_ties_against_all_pairs():
+    """Groups smaller and larger than what is tested by neighbours, with few and many tied sets."""
+    rnd = np.random.default_rng(5)
+    for sets, keys, kinds in ((30, 5, 3), (300, 3, 5), (300, 40, 200), (400, 2, 400)):
+        size, kind = rnd.integers(10, 40, sets), rnd.integers(0, kinds, sets)
+        pairs = {(k, s): rnd.random() < 0.5 for k in range(keys) for s in range(sets) if rnd.random() < 0.6}
+        key, own = (np.array(x) for x in zip(*pairs))
+        tests = []
+        ties = P.Ties(size, 0.5)
+        ties.add(key.astype(np.uint64), own, np.array(list(pairs.values())), lambda a, b: tests.append(len(a)) or kind[a] == kind[b])
+        a, b = [], []
+        for x, y in ((x, y) for x in range(sets) for y in range(sets) if x != y and kind[x] == kind[y] and 0.5 * size[y] <= size[x] <= size[y]):
+            if any(pairs.get((k, x)) and (k, y) in pairs for k in range(keys)):
+                a.append(x), b.append(y)
+        nodes, roots = P.forest(np.array(a, int), np.array(b, int))
+        want = np.arange(sets)
+        want[nodes] = roots
+        assert (ties.root(np.arange(sets)) == want).all()
+        assert kinds > 5 or sum(tests) < sets * 80
+
+
+def test_near_denies_no_similar_pair():
+    rnd = np.random.default_rng(6)
+    sets = []
+    for n in rnd.integers(1, 600, 150):
+        a = np.unique(rnd.integers(0, 1 << 52, n).astype(np.uint64))
+        sets += [a, np.unique(np.r_[a[: int(len(a) * rnd.uniform(0.4, 1))], rnd.integers(0, 1 << 52, int(n * rnd.uniform(0, 0.6))).astype(np.uint64)])]
+    size = np.array([len(x) for x in sets])
+    size_ok = [i for i in range(0, len(sets), 2) if size[i] and size[i + 1]]
+    words = P.widths(size)
+    flat = np.concatenate([P.sketches(x, np.array([0, len(x)]), int(w))[0] for x, w in zip(sets, words)])
+    start = np.cumsum(words) - words
+    a = np.array(size_ok)
+    got = P.near(flat, start, size, a, a + 1, 0.5)
+    want = [len(np.intersect1d(sets[i], sets[i + 1])) >= 0.5 * len(np.union1d(sets[i], sets[i + 1])) for i in a]
+    assert got[want].all() and 20 < sum(want) < len(a) - 20
+    x, y = (v.ravel() for v in np.meshgrid(a, a))
+    other = (x < y) & (np.minimum(size[x], size[y]) > 30) & (2 * np.minimum(size[x], size[y]) >= np.maximum(size[x], size[y]))
+    assert other.sum() > 500 and P.near(flat, start, size, x[other], y[other], 0.5).mean() < 0.01
