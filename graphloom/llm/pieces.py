@@ -7,11 +7,13 @@ together gives just the two) is stored in a table. The ids are then read backwar
 
 No piece of such a model has a blank after another character, and characters that are not in the
 vocabulary never merge, so texts are cut before blanks and at such characters. The cuts are found on
-the bytes of a batch of texts, its distinct stretches are encoded once and remembered (up to `REMEMBER`
-of them, then afresh), and the ids of all stretches are put together by array operations. Pieces of
-blanks only share one score, which breaks the uniqueness; stretches that begin with two blanks or more
-are merged step by step with a heap. Characters that are not in the vocabulary become byte tokens. Time
-is in proportion to a text's length, times its logarithm within such blank stretches.
+the bytes of a batch of texts, its distinct stretches are encoded once, and the ids of all stretches are
+put together by array operations. Distinct stretches of up to `SHORT` bytes go through the automaton side
+by side, a byte of each at a time, in arrays; others, and those with characters that are not in the
+vocabulary, one by one. Short ones of these are remembered (up to `REMEMBER` of them, then afresh), as are
+pairs (up to `PAIRS`). Pieces of blanks only share one score, which breaks the uniqueness; stretches that begin with two
+blanks or more are merged step by step with a heap. Characters that are not in the vocabulary become byte
+tokens. Time is in proportion to a text's length, times its logarithm within such blank stretches.
 
 Models whose normaliser changes texts, or without byte fallback, are refused. Defined results:
 a null text has null ids and an empty one none; any id value passes through, repeated rows are
@@ -34,12 +36,61 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .lookup import trimmed
 from .store import table
 from .text import slices, string_buffer
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
-REMEMBER = 300_000
+REMEMBER = 100_000
+PAIRS = 1_000_000
+SHORT = 64
+
+
+class Pairs:
+    """Answers for keys from 0 on, in a hash table of arrays that is emptied beyond `most`; ask(key) tells those not known yet."""
+
+    def __init__(self, ask, most: int = PAIRS):
+        self.ask, self.most = ask, most
+        self._room(12)
+
+    def _room(self, bits: int) -> None:
+        self.bits, self.known, self.slots = bits, 0, np.full(1 << bits, -1, np.int64)  # 2 * key + answer
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _add(self, entries: np.ndarray) -> None:
+        if self.known + len(entries) > self.most:
+            self._room(12)
+        if 2 * (self.known + len(entries)) > len(self.slots):
+            old = self.slots[self.slots >= 0]
+            self._room(int(4 * (len(old) + len(entries))).bit_length())
+            self._add(old)
+        self.known += len(entries)
+        at = self._home(entries >> 1)
+        while len(entries):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = entries[free]
+            left = self.slots[at] != entries  # another's place, or another got it just now
+            entries, at = entries[left], (at[left] + 1) & (len(self.slots) - 1)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        out, at, rest = np.zeros(len(keys), bool), self._home(keys), np.arange(len(keys))
+        new = []
+        while len(rest):
+            v = self.slots[at]
+            hit, none = v >> 1 == keys[rest], v < 0
+            out[rest[hit]] = (v[hit] & 1).astype(bool)
+            new.append(rest[none])
+            go = ~(hit | none)
+            rest, at = rest[go], (at[go] + 1) & (len(self.slots) - 1)
+        if new and len(new := np.concatenate(new)):
+            fresh, which = np.unique(keys[new], return_inverse=True)
+            told = np.fromiter(map(self.ask, fresh.tolist()), bool, len(fresh))
+            out[new] = told[which]
+            self._add(fresh * 2 + told)
+        return out
 
 
 class Model:
@@ -70,6 +121,8 @@ class Model:
         self.automaton.make_automaton()
         self.pair: dict[int, bool] = {}
         self._halves()
+        self.fits = Pairs(lambda k: self.compatible(*divmod(k, n)))
+        self._arrays()
         self.chars = frozenset(c for c in self.id if len(c) == 1)
         self.known: dict[str, tuple[int, ...]] = {}
         # the bytes that each id decodes to, one after the other
@@ -128,6 +181,120 @@ class Model:
         """Whether merging p comes to the halves before and after k in the end."""
         return self.merge(p, len(p)) == [p[:k], p[k:]]
 
+    def _arrays(self) -> None:
+        """The automaton over bytes, a blank as 32. go: the next state, for a state and a byte's kind (0: in no piece); longest: the
+        longest token that ends in a state; shorter: the next one that ends where a token ends; both -1 for none; long: its bytes."""
+        tokens = {p.replace(BLANK, " ").encode(): i for p, (i, _) in self.automaton.items()}
+        used = sorted({b for p in tokens for b in p})
+        self.kind = np.zeros(256, np.int64)
+        self.kind[used] = np.arange(1, len(used) + 1)
+        kind, kinds = self.kind.tolist(), len(used) + 1
+        states: list[dict[int, int]] = [{}]
+        own = [-1]
+        for p, i in tokens.items():
+            at = 0
+            for b in p:
+                to = states[at].get(kind[b])
+                if to is None:
+                    to = states[at][kind[b]] = len(states)
+                    states.append({})
+                    own.append(-1)
+                at = to
+            own[at] = i
+        n = len(self.piece)
+        go, self.longest = np.zeros((len(states), kinds), np.uint16 if len(states) < 1 << 16 else np.int32), np.array(own, np.int32)
+        self.shorter, self.long = np.full(n, -1, np.int32), np.zeros(n, np.int32)
+        for p, i in tokens.items():
+            self.long[i] = len(p)
+        fall = [0] * len(states)  # the state of the longest proper end of a state's text
+        line = [0]
+        for at in line:
+            if at:
+                go[at] = go[fall[at]]
+                end = self.longest[fall[at]]
+                if own[at] < 0:
+                    self.longest[at] = end
+                else:
+                    self.shorter[own[at]] = end
+            for k, to in states[at].items():
+                fall[to] = int(go[at, k])
+                go[at, k] = to
+                line.append(to)
+        self.go, self.kinds = go.ravel(), kinds
+
+    def _side_by_side(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(which stretches it could encode, how many ids each has, their ids from the last one on, the stretch's place of each id)."""
+        size = np.diff(off)
+        doubled = np.zeros(len(size), bool)
+        two = size > 1
+        doubled[two] = (raw[off[:-1][two]] == 32) & (raw[off[:-1][two] + 1] == 32)
+        which = np.flatnonzero((size <= SHORT) & ~doubled)
+        which = which[np.argsort(-size[which], kind="stable")]
+        size, first = size[which], off[which]
+        most = int(size[0]) if len(size) else 0
+        ends = np.append(raw[1:] & 0xC0 != 0x80, True)  # the last byte of each character
+        token = np.full((most + 1, len(which)), -1, np.int32)
+        state, failed = np.zeros(len(which), np.int64), np.zeros(len(which), bool)
+        active = np.searchsorted(-size, -np.arange(most), "left")
+        for e, k in enumerate(active.tolist()):
+            at = first[:k] + e
+            state[:k] = now = self.go[state[:k] * self.kinds + self.kind[raw[at]]]
+            who = np.flatnonzero(ends[at])
+            last = self.longest[now[who]]
+            while len(who):
+                begin = e + 1 - self.long[last]
+                before = token[begin, who]
+                ok = (begin == 0) & (last >= 0)
+                test = np.flatnonzero((before >= 0) & (last >= 0))
+                ok[test] = self.fits(before[test].astype(np.int64) * len(self.piece) + last[test])
+                token[e + 1, who[ok]] = last[ok]
+                failed[who[last < 0]] = True
+                more = ~ok & (last >= 0)
+                who, last = who[more], self.shorter[last[more]]
+        who, rest = np.flatnonzero(~failed), size.copy()
+        many, ids, places = np.zeros(len(which), np.int64), [], []
+        done = who
+        while len(who):
+            t = token[rest[who], who]
+            ids.append(t)
+            places.append(who)
+            many[who] += 1
+            rest[who] -= self.long[t]
+            who = who[rest[who] > 0]
+        place = np.full(len(which), -1, np.int64)
+        place[done] = np.arange(len(done))
+        return which[done], many[done], np.concatenate(ids or [np.zeros(0, np.int32)]), place[np.concatenate(places or [np.zeros(0, np.int64)])]
+
+    def _distinct(self, stretches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all stretches one after the other, how many each has)."""
+        size = np.zeros(len(stretches), np.int64)
+        done, many, ids, place = self._side_by_side(*string_buffer(stretches))
+        size[done] = many
+        left = np.ones(len(stretches), bool)
+        left[done] = False
+        left = np.flatnonzero(left)
+        if len(self.known) > REMEMBER:
+            self.known.clear()
+        if len(self.pair) > PAIRS:
+            self.pair.clear()
+        others = []
+        for t in stretches.take(pa.array(left)).to_pylist():
+            found = self.known.get(t)
+            if found is None:
+                found = self.stretch(t.replace(" ", BLANK))
+                if len(t) <= SHORT:
+                    self.known[t] = found
+            others.append(found)
+        size[left] = [len(x) for x in others]
+        start = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int32)
+        # the first of place are the last ids of their stretches, the second ones those before, and so on
+        order = np.argsort(place, kind="stable")
+        nth = np.arange(len(ids)) - (np.cumsum(many) - many)[place[order]]
+        out[(start + size - 1)[done][place[order]] - nth] = ids[order]
+        out[_spread(start, size, left)] = np.fromiter((i for x in others for i in x), np.int32, int(size[left].sum()))
+        return out, size
+
     def compatible(self, a: int, b: int) -> bool:
         """Whether encoding the texts of both together gives just the two: no merge across the border comes before those within."""
         rank, rank_of, piece, left, right = self.rank, self.rank_of, self.piece, self.left, self.right
@@ -192,17 +359,8 @@ class Model:
         head[off[:-1][np.diff(off) > 0]] = True
         start = np.flatnonzero(head)
         stretch = pa.StringArray.from_buffers(len(start), pa.py_buffer(np.r_[start, len(raw)].astype(np.int32)), pa.py_buffer(raw)).dictionary_encode()
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        ids = []
-        for t in stretch.dictionary.to_pylist():
-            found = self.known.get(t)
-            if found is None:
-                found = self.known[t] = self.stretch(t.replace(" ", BLANK))
-            ids.append(found)
         code = stretch.indices.to_numpy()
-        size = np.array([len(x) for x in ids], np.int64)
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(size.sum()))
+        flat, size = self._distinct(stretch.dictionary)
         ends = np.r_[0, np.cumsum(size[code])]
         return flat[_spread(np.cumsum(size) - size, size, code)], ends[np.searchsorted(start, off)]
 
@@ -292,7 +450,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL, keep: list[st
     keep = [c for c in (docs.columns if keep is None else keep) if c not in fresh]
     fields = [f for f in docs.schema.fields if f.name in keep] + new
     needed = [c for c in docs.columns if c in keep or c == text]
-    return docs.select(*["`" + c.replace("`", "``") + "`" for c in needed]).mapInArrow(_rows([f.name for f in fields], text, _read(path), check), T.StructType(fields))
+    return docs.select(*["`" + c.replace("`", "``") + "`" for c in needed]).mapInArrow(trimmed(_rows([f.name for f in fields], text, _read(path), check)), T.StructType(fields))
 
 
 def _texts(ids: str, proto: bytes, names: list[str]):

@@ -2,6 +2,7 @@ import os
 import random
 import time
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
@@ -78,6 +79,35 @@ def test_batches_of_texts(lib):
     assert not m.exact(pa.array(part), wrong, off)[9]
 
 
+def test_stretches_side_by_side(lib):
+    """All kinds of stretches in one batch, and many distinct ones without keeping them."""
+    m = P.model(P._read(P.MODEL))
+    rnd = random.Random(5)
+    pieces = [lib.id_to_piece(i).replace(P.BLANK, "") for i in range(260, 32000)]
+    texts = [" ".join("".join(rnd.choices(pieces, k=rnd.choice([1, 2, 3, 5, 30]))) for _ in range(rnd.randrange(1, 40))) + rnd.choice(["", "\n", "  x", "\x01", "😀é", "a" * 64, "é" * 33, " b" * 3]) for _ in range(1500)] + HARD
+    ids, off = m.encode_all(pa.array(texts))
+    for t, a, b in zip(texts, off, off[1:]):
+        assert ids[a:b].tolist() == lib.encode(t)
+    m.known.clear()
+    words = ["".join(rnd.choices("etaoinshr", k=9)) for _ in range(20_000)]
+    ids, off = m.encode_all(pa.array(words))
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == lib.encode(words)
+    assert not m.known
+
+
+def test_pairs_beyond_the_most():
+    asked = []
+    p = P.Pairs(lambda k: asked.append(k) or k % 3 == 0, 5000)
+    rnd = np.random.default_rng(2)
+    for n in (0, 1, 300, 4000, 4000, 9000, 10):
+        keys = rnd.integers(0, 1 << 30, n) if n != 300 else np.arange(300).repeat(2)
+        assert p(keys).tolist() == (keys % 3 == 0).tolist() == p(keys).tolist()
+        assert (p.slots >= 0).sum() == p.known <= max(5000, n)
+    before = len(asked)
+    p(keys)
+    assert len(asked) == before
+
+
 def test_rows(spark, lib):
     rows = [(i, t, "z") for i, t in enumerate(HARD)] + [(None, None, "n"), (3, "ab", "r"), (3, "ab", "r")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_ids string")
