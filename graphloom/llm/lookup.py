@@ -17,6 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import text
 from .elias_fano import load, save
 from .store import mounted, new_path
 
@@ -44,7 +45,8 @@ def unpack_any(data: bytes) -> np.ndarray:
 
 
 def trim() -> None:
-    """Gives freed memory back to the system; a worker that goes on to its next task would keep it."""
+    """Gives freed memory and the powers of word hashes back to the system; a worker that goes on to its next task, or waits for one, would keep them."""
+    text.forget()
     pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)

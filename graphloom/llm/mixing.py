@@ -24,9 +24,9 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .store import cut, table
@@ -93,12 +93,13 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: st
     total = sum(r.n for r in per)
     goal = total if budget is None else budget
     _, w = weights([r.n for r in per], goal, entropy, repetition)
-    schema = T.StructType([T.StructField("source", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("passes", T.LongType()), T.StructField("rest", T.LongType())])
+    schema = pa.schema([("source", pa.string()), ("weight", pa.float64()), ("passes", pa.int64()), ("rest", pa.int64())])
     shares = []
     for r, x in zip(per, w):
         due = int(x * goal + 0.5)
         shares.append((r.source, x, due // r.n, due % r.n))
-    due = spark.createDataFrame(shares, schema)
+    # a table of Arrow needs no Python workers, which would stay
+    due = spark.createDataFrame(pa.table([pa.array([x[i] for x in shares], f.type) for i, f in enumerate(schema)], schema))
     order = Window.partitionBy("source").orderBy("turn", "block")
     b = sums.join(due, sums.source.eqNullSafe(due.source)).drop(due.source)
     b = b.withColumn("turn", _hash(F.lit(seed), F.lit("pass"), F.col("passes"), F.col("source"), F.col("block")))

@@ -45,6 +45,7 @@ BLANK = "▁"
 REMEMBER = 100_000
 PAIRS = 1_000_000
 SHORT = 64
+SLICE = 1 << 19  # bytes of text at a time
 
 
 class Pairs:
@@ -182,8 +183,9 @@ class Model:
         return self.merge(p, len(p)) == [p[:k], p[k:]]
 
     def _arrays(self) -> None:
-        """The automaton over bytes, a blank as 32. go: the next state, for a state and a byte's kind (0: in no piece); longest: the
-        longest token that ends in a state; shorter: the next one that ends where a token ends; both -1 for none; long: its bytes."""
+        """The automaton over bytes, a blank as 32. go: the next state, for a row and a byte's kind (0: in no piece); row: a state's, which
+        it shares with the longest proper end of its text where no piece goes on from it; longest: the longest token that
+        ends in a state; shorter: the next one that ends where a token ends; both -1 for none; long: its bytes."""
         tokens = {p.replace(BLANK, " ").encode(): i for p, (i, _) in self.automaton.items()}
         used = sorted({b for p in tokens for b in p})
         self.kind = np.zeros(256, np.int64)
@@ -202,7 +204,8 @@ class Model:
                 at = to
             own[at] = i
         n = len(self.piece)
-        go, self.longest = np.zeros((len(states), kinds), np.uint16 if len(states) < 1 << 16 else np.int32), np.array(own, np.int32)
+        go, self.longest = np.zeros((1 + sum(map(bool, states[1:])), kinds), np.uint16 if len(states) < 1 << 16 else np.int32), np.array(own, np.int32)
+        row, rows = [0] * len(states), 1
         self.shorter, self.long = np.full(n, -1, np.int32), np.zeros(n, np.int32)
         for p, i in tokens.items():
             self.long[i] = len(p)
@@ -210,17 +213,20 @@ class Model:
         line = [0]
         for at in line:
             if at:
-                go[at] = go[fall[at]]
+                row[at] = row[fall[at]]
+                if states[at]:
+                    go[rows] = go[row[at]]
+                    row[at], rows = rows, rows + 1
                 end = self.longest[fall[at]]
                 if own[at] < 0:
                     self.longest[at] = end
                 else:
                     self.shorter[own[at]] = end
             for k, to in states[at].items():
-                fall[to] = int(go[at, k])
-                go[at, k] = to
+                fall[to] = int(go[row[at], k])
+                go[row[at], k] = to
                 line.append(to)
-        self.go, self.kinds = go.ravel(), kinds
+        self.go, self.row, self.kinds = go.ravel(), np.array(row, np.int32), kinds
 
     def _side_by_side(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(which stretches it could encode, how many ids each has, their ids from the last one on, the stretch's place of each id)."""
@@ -238,7 +244,7 @@ class Model:
         active = np.searchsorted(-size, -np.arange(most), "left")
         for e, k in enumerate(active.tolist()):
             at = first[:k] + e
-            state[:k] = now = self.go[state[:k] * self.kinds + self.kind[raw[at]]]
+            state[:k] = now = self.go[self.row[state[:k]] * self.kinds + self.kind[raw[at]]]
             who = np.flatnonzero(ends[at])
             last = self.longest[now[who]]
             while len(who):
@@ -411,15 +417,26 @@ def blanked(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _models: dict[int, Model] = {}
+_answers: dict[int, Pairs] = {}
 
 
 def model(proto: bytes) -> Model:
     key = hash(proto)
     if key not in _models:
-        _models[key] = Model(proto)
+        m = _models[key] = Model(proto)
+        if key in _answers:
+            _answers[key].ask, m.fits = m.fits.ask, _answers[key]
+        _answers[key] = m.fits
     return _models[key]
 
 
+def forget(proto: bytes) -> None:
+    """Drops a model, which takes half a second to make again; the answers for pairs stay."""
+    m = _models.pop(hash(proto), None)
+    if m is not None:
+        m.fits.ask = None  # it holds the model
+
+
 def _read(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -429,7 +446,7 @@ def _rows(names: list[str], text: str, proto: bytes, check: bool):
     def run(batches):
         m = model(proto)
         for whole in batches:
-            for b in slices(whole, text):
+            for b in slices(whole, text, SLICE):
                 col = b.column(text)
                 none = col.is_null()
                 ids, off = m.encode_all(col)
@@ -439,6 +456,8 @@ def _rows(names: list[str], text: str, proto: bytes, check: bool):
                 if check:
                     cols["exact"] = pc.if_else(none, None, pa.array(m.exact(col, ids, off)))
                 yield pa.RecordBatch.from_arrays([cols[n] for n in names], names)
+        del m
+        forget(proto)  # as a worker that waits for a task would keep it
 
     return run
 

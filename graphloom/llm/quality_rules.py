@@ -16,6 +16,7 @@ import re
 import time
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,7 +66,9 @@ def estimate(docs: DataFrame, text: str = "text", sample_rows: int = 2000, rules
     it takes to fill it: files that are sorted by source may give an order that suits the first
     source best, which costs time and changes no row.
     """
-    part = docs.sparkSession.createDataFrame(docs.sample(0.2, seed=7).select(F.col(text).alias(text)).take(sample_rows), docs.select(text).schema).coalesce(1).persist()
+    rows = docs.sample(0.2, seed=7).select(F.col(text).alias(text)).take(sample_rows)
+    # a table of Arrow needs no Python workers, which would stay
+    part = docs.sparkSession.createDataFrame(pa.table({text: pa.array([r[0] for r in rows], pa.string())})).coalesce(1).persist()
     try:
         rows = part.count()
         began = time.perf_counter()

@@ -45,6 +45,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pows["p"], _pows["i"]
 
 
+def forget() -> None:
+    """Drops the powers; they are made again, in milliseconds, when next needed."""
+    _pows.clear()
+
+
 def string_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets from 0) of a string column; nulls are empty."""
     if isinstance(col, pa.ChunkedArray):

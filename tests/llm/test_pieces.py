@@ -10,6 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graphloom.llm import pieces as P
+from graphloom.llm import text
+from graphloom.llm.lookup import trimmed
 
 pytestmark = pytest.mark.skipif(not os.path.exists(P.MODEL), reason="no model file")
 HARD = ["", " ", "  a", "a ", "▁x", "a▁b", "a\x00b", "�", "\t x", "12345", "abc  12     y", "A\r\nB\n\n c", "<unk>", "<s> hi <0x0A>", "é😀\U0010ffff", "ß" * 50, "a" * 3000, " " * 40, "x\n" * 200, "internationalisation of unbelievable counterrevolutionaries"]
@@ -108,6 +110,19 @@ def test_pairs_beyond_the_most():
     assert len(asked) == before
 
 
+def test_memory_of_a_worker():
+    """Tables are small, a slice is, and a task that ends leaves nothing but the model."""
+    m = P.model(P._read(P.MODEL))
+    assert m.go.nbytes + m.row.nbytes < 18_000_000
+    words = text.Words(pa.array(["a b c"]))
+    assert len(words.hashes) == 3 and text._pows
+    batch = pa.RecordBatch.from_pydict({"text": ["word " * 100_000] * 3 + ["b"] * 9})
+    out = list(trimmed(P._rows(["n_ids"], "text", P._read(P.MODEL), False))([batch]))
+    assert [b.num_rows for b in out] == [1, 1, 10] and out[-1].column("n_ids").to_pylist()[1:] == [1] * 9
+    assert not text._pows and not P._models
+    assert text.Words(pa.array(["a b c"])).hashes.tolist() == words.hashes.tolist()
+
+
 def test_rows(spark, lib):
     rows = [(i, t, "z") for i, t in enumerate(HARD)] + [(None, None, "n"), (3, "ab", "r"), (3, "ab", "r")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_ids string")
