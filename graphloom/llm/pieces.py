@@ -24,6 +24,7 @@ they have the name of a new column, when the new one takes their place.
 
 from __future__ import annotations
 
+import pickle
 import re
 from heapq import heapify, heappop, heappush
 from itertools import groupby
@@ -33,6 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -120,18 +122,30 @@ class Model:
                 if self.merge(p) == [p]:  # others never come out of an encoding
                     self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
-        self.pair: dict[int, bool] = {}
         self._halves()
-        self.fits = Pairs(lambda k: self.compatible(*divmod(k, n)))
+        self._learn()
         self._arrays()
         self.chars = frozenset(c for c in self.id if len(c) == 1)
-        self.known: dict[str, tuple[int, ...]] = {}
         # the bytes that each id decodes to, one after the other
         own = [bytes([self.byte_of[i]]) if i in self.byte_of else t.encode() for i, t in enumerate(self.plain)]
         self.own_bytes = np.frombuffer(b"".join(own), np.uint8)
         self.own_size = np.array([len(b) for b in own], np.int64)
         self.own_start = np.cumsum(self.own_size) - self.own_size
 
+    def _learn(self) -> None:
+        """Begins without answers."""
+        n = len(self.piece)
+        self.pair: dict[int, bool] = {}
+        self.fits = Pairs(lambda k: self.compatible(*divmod(k, n)))
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("pair", "fits", "known")}
+
+    def __setstate__(self, tables: dict) -> None:
+        self.__dict__.update(tables)
+        self._learn()
+
     def merge(self, s: str, most: int | None = None) -> list[str]:
         """Merging as defined: the best-scored adjacent pair first, the leftmost of equals; no merges to `most` characters or more."""
         parts: list = list(s)
@@ -418,12 +432,13 @@ def blanked(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 _models: dict[int, Model] = {}
 _answers: dict[int, Pairs] = {}
+_packed: dict[int, bytes] = {}
 
 
 def model(proto: bytes) -> Model:
     key = hash(proto)
     if key not in _models:
-        m = _models[key] = Model(proto)
+        m = _models[key] = pickle.loads(zstandard.decompress(_packed[key])) if key in _packed else Model(proto)
         if key in _answers:
             _answers[key].ask, m.fits = m.fits.ask, _answers[key]
         _answers[key] = m.fits
@@ -431,9 +446,12 @@ def model(proto: bytes) -> Model:
 
 
 def forget(proto: bytes) -> None:
-    """Drops a model, which takes half a second to make again; the answers for pairs stay."""
-    m = _models.pop(hash(proto), None)
+    """Drops a model but for its packed tables, which are read in a fraction of the time that making them takes; the answers for pairs stay."""
+    key = hash(proto)
+    m = _models.pop(key, None)
     if m is not None:
+        if key not in _packed:
+            _packed[key] = zstandard.compress(pickle.dumps(m, pickle.HIGHEST_PROTOCOL), 1)
         m.fits.ask = None  # it holds the model
 
 

@@ -123,6 +123,28 @@ def test_memory_of_a_worker():
     assert text.Words(pa.array(["a b c"])).hashes.tolist() == words.hashes.tolist()
 
 
+def test_a_worker_makes_its_model_once(lib, monkeypatch):
+    """The next task of a worker reads the packed tables, and encodes and decodes as with those made anew."""
+    proto = P._read(P.MODEL)
+    made, init = [], P.Model.__init__
+    monkeypatch.setattr(P.Model, "__init__", lambda self, x: made.append(x) or init(self, x))
+    monkeypatch.setattr(P, "_models", {})
+    monkeypatch.setattr(P, "_answers", {})
+    monkeypatch.setattr(P, "_packed", {}, raising=False)
+    rnd = random.Random(6)
+    pieces = [lib.id_to_piece(i) for i in range(260, 32000)]
+    texts = HARD + ["".join(rnd.choices(pieces, k=rnd.randrange(1, 9))) for _ in range(300)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    for task in range(3):
+        (out,) = trimmed(P._rows(["ids", "exact"], "text", proto, True))([batch])
+        assert out.column("ids").to_pylist() == lib.encode(texts)
+        assert not P._models and len(made) == 1
+    m = P.model(proto)
+    for text in texts[:60]:
+        check(m, lib, text)
+    assert len(made) == 1 and len(P._packed[hash(proto)]) < 4_000_000
+
+
 def test_rows(spark, lib):
     rows = [(i, t, "z") for i, t in enumerate(HARD)] + [(None, None, "n"), (3, "ab", "r"), (3, "ab", "r")]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_ids string")
