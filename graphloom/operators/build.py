@@ -280,10 +280,11 @@ def diff_text(d: DataFrame, most: int = 50) -> str:
     return "\n".join(lines + [f"  {r.kind} {r.id}" for r in first]) or "no changes"
 
 
-def file_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(file, change) of two states (file, sha): added, removed or modified."""
-    j = before.select("file", F.col("sha").alias("a")).join(after.select("file", F.col("sha").alias("b")), "file", "full_outer")
-    return j.select("file", F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "modified").alias("change")).filter("change IS NOT NULL")
+def file_changes(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("file",)) -> DataFrame:
+    """(*keys, change) of two states (*keys, sha): added, removed or modified; a file that a state tells several times is there once, with the set of its hashes."""
+    state = lambda df, name: df.groupBy(*keys).agg(F.array_sort(F.collect_set("sha")).alias(name))
+    j = state(before, "a").join(state(after, "b"), list(keys), "full_outer")
+    return j.select(*keys, F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(F.col("a") != F.col("b"), "modified").alias("change")).filter("change IS NOT NULL")
 
 
 def post_process(g: Graph, tables: DataFrame | None = None, commands: DataFrame | None = None, agents: DataFrame | None = None) -> Graph:

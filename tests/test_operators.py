@@ -103,6 +103,17 @@ def test_numbered(spark):
     assert numbered(df.limit(0), ["v"]).count() == 0
 
 
+def test_changes_of_files_that_a_state_tells_twice(spark, tmp_path):
+    state = lambda rows: spark.createDataFrame(rows, "file string, sha string")
+    before, after = state([("a", "1"), ("a", "1"), ("b", "1"), ("b", "2"), ("c", "1"), ("g", "1")]), state([("a", "1"), ("b", "2"), ("b", "1"), ("c", "2"), ("c", "1"), ("n", "1"), ("n", "2")])
+    assert sorted((r.file, r.change) for r in build.file_changes(before, after).collect()) == [("c", "modified"), ("g", "removed"), ("n", "added")]
+    # pages 0 (removed), 1 (added), 2 and 6 (modified) and 3 (as it was) of one address
+    spark.createDataFrame([(k, "u", f"<p>{k}</p>") for k in (0, 1, 2, 3, 6)], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    from graphloom.plans import catalog
+
+    assert sorted(r.change for r in catalog.queries()["di_file_changes"](spark, str(tmp_path)).collect()) == ["added", "modified", "modified", "removed"]
+
+
 def test_names_told_twice_unless_every_pair_is_linked(spark):
     bag = lambda n: f'{{"name": "{n}", "source_strategy": "agent_graph_static"}}'
     nodes = [(f"skill:{k}", "skill", bag("same")) for k in "ab"] + [(f"skill:{k}", "skill", bag("other")) for k in "xyz"]
