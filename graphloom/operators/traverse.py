@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from .. import schema as S
 from ..functions.columns import surface, trace_bucket
 from ..model import Graph, aliases, edge_key
-from ..store import cut, few
+from ..store import BROADCAST_ROWS, cut, few, within, without
 
 
 def _ids(g: Graph, ids: list[str]) -> DataFrame:
@@ -34,16 +34,26 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def incident(g: Graph, ids: DataFrame) -> DataFrame:
     """Edges with an end in ids (id), each row of the multigraph once."""
-    mark = ids.select("id").distinct()
-    e = g.edges.join(mark.select(F.col("id").alias("src"), F.lit(1).alias("a")), "src", "left").join(mark.select(F.col("id").alias("dst"), F.lit(1).alias("b")), "dst", "left")
+    mark = cut(ids.select("id").distinct())
+    size = mark.count()
+    e = g.edges.join(few(mark.select(F.col("id").alias("src"), F.lit(1).alias("a")), size), "src", "left").join(few(mark.select(F.col("id").alias("dst"), F.lit(1).alias("b")), size), "dst", "left")
     return e.filter("a = 1 OR b = 1").select("src", "dst", "type", "props_json")
 
 
 def neighborhood(g: Graph, ids: DataFrame) -> DataFrame:
     """(id, type, label) of known neighbours of ids, without ids."""
     e = incident(g, ids)
-    found = e.select(F.col("src").alias("id")).union(e.select(F.col("dst").alias("id"))).distinct().join(ids.select("id"), "id", "left_anti")
-    return g.nodes.join(found, "id", "left_semi").select("id", "type", "label")
+    found = cut(e.select(F.explode(F.array("src", "dst")).alias("id")).distinct().join(ids.select("id"), "id", "left_anti"))
+    return marked(g.nodes.select("id", "type", "label"), found, found.count(), "id")
+
+
+def marked(df: DataFrame, ids: DataFrame, size: int, on: str) -> DataFrame:
+    """Rows of df whose `on` is one of ids (on), of which there are `size`; a few go to the rows, where these lie."""
+    return df.join(F.broadcast(ids), on, "left_semi") if size <= BROADCAST_ROWS else within(df, ids, on)
+
+
+def unmarked(df: DataFrame, ids: DataFrame, size: int, on: str) -> DataFrame:
+    return df.join(F.broadcast(ids), on, "left_anti") if size <= BROADCAST_ROWS else without(df, ids, on)
 
 
 def context(g: Graph, name: str) -> DataFrame:
@@ -62,10 +72,11 @@ def bfs(g: Graph, seeds: DataFrame, depth: int, direction: str = "both", types:
     size = total = front.count()
     for hop in range(1, depth + 1):
         # a small frontier goes to the edges, so that they are filtered where they lie
-        step = e.join(few(front.select(F.col("id").alias("at")), size), "at", "left_semi").select(F.col("other").alias("id")).distinct().join(few(seen.select("id"), total), "id", "left_anti")
+        step = marked(e, front.select(F.col("id").alias("at")), size, "at").select(F.col("other").alias("id")).distinct()
+        step = unmarked(step, seen.select("id"), total, "id")
         if known:
             step = cut(step)
-            step = g.nodes.select("id").join(few(step, step.count()), "id", "left_semi").distinct()
+            step = marked(g.nodes.select("id"), step, step.count(), "id").distinct()
         front = cut(step.withColumn("hop", F.lit(hop)))
         size = front.count()
         if not size:
@@ -76,8 +87,9 @@ def bfs(g: Graph, seeds: DataFrame, depth: int, direction: str = "both", types:
 
 def induced(g: Graph, ids: DataFrame) -> DataFrame:
     """Edges with both ends in ids."""
-    keep = ids.select("id").distinct()
-    return g.edges.join(keep.withColumnRenamed("id", "src"), "src", "left_semi").join(keep.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    keep = cut(ids.select("id").distinct())
+    size = keep.count()
+    return marked(marked(g.edges, keep.withColumnRenamed("id", "src"), size, "src"), keep.withColumnRenamed("id", "dst"), size, "dst")
 
 
 def subgraph(g: Graph, node: str, depth: int = 1) -> Graph:
@@ -113,42 +125,64 @@ def references(g: Graph, name: str) -> DataFrame:
     return g.edges.filter("type = 'calls'").join(symbols_named(g, name).select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
 
 
+def _hop(g: Graph, e: DataFrame, front: DataFrame, size: int, seen: DataFrame, total: int) -> tuple[DataFrame, DataFrame, int]:
+    """Links (at, other, key) from front (id) to known nodes that weren't seen, of each pair that of the least key; these nodes and their number."""
+    step = marked(e, front.select(F.col("id").alias("at")), size, "at").groupBy("at", "other").agg(F.min(edge_key()).alias("key"))
+    step = cut(unmarked(step, seen.select(F.col("id").alias("other")), total, "other"))
+    new = cut(step.select(F.col("other").alias("id")).distinct())
+    known = cut(marked(g.nodes.select("id"), new, new.count(), "id").distinct())
+    size = known.count()
+    return marked(step, known.select(F.col("id").alias("other")), size, "other"), known, size
+
+
 def path(g: Graph, start: str, goal: str, order: str = "edges") -> DataFrame:
     """(step, id, edge_type, edge_src, edge_dst) of the shortest undirected path that a queue would find first.
 
     Neighbours are taken in the order of the edges (order="edges"), of the neighbour's id and edge
     ("federated"), or of the neighbour's id ("ids"). No rows where there is no path.
+
+    Both ends are widened, the one with fewer nodes first, until they meet. A queue's order matters
+    only among nodes of shortest paths: all parents that such a node may have are of these too.
     """
-    e = both_ways(g.edges)
-    known = g.nodes.select(F.col("id").alias("other"))
-    e = e.join(known, "other", "left_semi").withColumn("key", edge_key())
-    tie = {"edges": F.struct("key"), "federated": F.struct("other", "key"), "ids": F.struct("other", "key")}[order]
-    e = e.withColumn("tie", tie)
-    layer = cut(_ids(g, [start]).join(g.nodes.select("id"), "id", "left_semi").withColumn("rank", F.lit(0).cast("bigint")).withColumn("parent", F.lit(None).cast("string")))
-    layers, seen = [layer], layer.select("id")
-    found = start == goal
-    size = total = layer.count()
-    while not found and size:
-        step = e.join(few(layer.select(F.col("id").alias("at"), "rank"), size), "at").join(few(seen.select(F.col("id").alias("other")), total), "other", "left_anti")
-        step = step.groupBy(F.col("other").alias("id")).agg(F.min(F.struct("rank", "tie", F.col("at").alias("parent"))).alias("m"))
-        # range partitions in order, so ids that grow with partition and row keep the order of m
-        layer = cut(step.orderBy("m").select("id", F.monotonically_increasing_id().alias("rank"), F.col("m.parent").alias("parent")))
-        layers.append(layer)
-        size = layer.count()
-        seen, total = seen.union(layer.select("id")), total + size
-        found = not layer.filter(F.col("id") == goal).isEmpty()
     spark = g.nodes.sparkSession
     out = "step int, id string, edge_type string, edge_src string, edge_dst string"
-    if not found or layers[0].isEmpty():
+    e = both_ways(g.edges)
+    known = {r.id for r in g.nodes.filter(F.col("id").isin(start, goal)).select("id").distinct().collect()}
+    if known != {start, goal}:
         return spark.createDataFrame([], out)
-    steps, at = [(len(layers) - 1, goal)], goal
-    for i in range(len(layers) - 1, 0, -1):
-        at = layers[i].filter(F.col("id") == at).first().parent
-        steps.append((i - 1, at))
-    way = sorted(steps)
-    pairs = spark.createDataFrame([(i, v, way[i - 1][1] if i else None) for i, v in way], "step int, id string, before string")
-    link = e.join(F.broadcast(pairs.select(F.col("id").alias("at"), F.col("before").alias("other"))), ["at", "other"]).groupBy("at", "other").agg(F.min("key").alias("k"))
-    return pairs.join(link, (F.col("id") == F.col("at")) & (F.col("before") == F.col("other")), "left").select("step", "id", F.col("k.type").alias("edge_type"), F.col("k.src").alias("edge_src"), F.col("k.dst").alias("edge_dst"))
+    # of each end: nodes of the last layer and their number, all nodes and their number, links by hop
+    ends = [{"front": x, "size": 1, "seen": x, "total": 1, "links": []} for x in (cut(_ids(g, [start])), cut(_ids(g, [goal])))]
+    while start != goal and ends[0]["front"].join(ends[1]["front"], "id", "left_semi").isEmpty():
+        x = min(ends, key=lambda x: x["size"])
+        links, x["front"], x["size"] = _hop(g, e, x["front"], x["size"], x["seen"], x["total"])
+        if not x["size"]:
+            return spark.createDataFrame([], out)
+        x["links"].append(links)
+        x["seen"], x["total"] = x["seen"].union(x["front"]), x["total"] + x["size"]
+    # links of shortest paths, hop by hop from the start: (a, b, key), a before b
+    near, far = ([x.select(F.col("at" if i == 0 else "other").alias("a"), F.col("other" if i == 0 else "at").alias("b"), "key") for x in end["links"]] for i, end in enumerate(ends))
+    steps, on = [], cut(ends[0]["front"].join(ends[1]["front"], "id", "left_semi"))
+    meet = on
+    for x in reversed(near):
+        steps.insert(0, cut(x.join(on.select(F.col("id").alias("b")), "b", "left_semi")))
+        on = steps[0].select(F.col("a").alias("id")).distinct()
+    on = meet
+    for x in reversed(far):
+        steps.append(cut(x.join(on.select(F.col("id").alias("a")), "a", "left_semi")))
+        on = steps[-1].select(F.col("b").alias("id")).distinct()
+    tie = {"edges": F.struct("key"), "federated": F.struct("b", "key"), "ids": F.struct("b", "key")}[order]
+    layer, parents = _ids(g, [start]).withColumn("rank", F.lit(0).cast("bigint")), []
+    for x in steps:
+        step = x.join(layer.select(F.col("id").alias("a"), "rank"), "a").groupBy(F.col("b").alias("id")).agg(F.min(F.struct("rank", tie.alias("tie"), F.col("a").alias("parent"), "key")).alias("m"))
+        # range partitions in order, so ids that grow with partition and row keep the order of m
+        layer = cut(step.orderBy("m").select("id", F.monotonically_increasing_id().alias("rank"), F.col("m.parent").alias("parent"), F.col("m.key").alias("key")))
+        parents.append(layer)
+    way, at = [], goal
+    for i in range(len(parents), 0, -1):
+        r = parents[i - 1].filter(F.col("id") == at).first()
+        way.append((i, at, r.key["type"], r.key["src"], r.key["dst"]))
+        at = r.parent
+    return spark.createDataFrame([(0, start, None, None, None), *reversed(way)], out)
 
 
 def impact_seeds(g: Graph, target: str) -> DataFrame:
@@ -212,8 +246,9 @@ def degree(g: Graph) -> DataFrame:
 
 def structural(g: Graph) -> DataFrame:
     """(id, structural): incoming edges of each node over the most that a node has."""
-    i = g.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")).join(g.nodes.select("id"), "id", "left_semi")
-    return g.nodes.select("id").join(i, "id", "left").crossJoin(F.broadcast(i.agg(F.max("n").alias("top")))).select("id", F.coalesce(F.col("n") / F.col("top"), F.lit(0.0)).alias("structural"))
+    n = g.nodes.select("id").distinct()
+    i = cut(within(g.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")), n, "id"))
+    return g.nodes.select("id").join(i.hint("shuffle_hash"), "id", "left").crossJoin(F.broadcast(i.agg(F.max("n").alias("top")))).select("id", F.coalesce(F.col("n") / F.col("top"), F.lit(0.0)).alias("structural"))
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
