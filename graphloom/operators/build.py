@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from .. import schema as S
 from ..functions import columns as C
 from ..model import Graph, fill
-from ..store import cut
+from ..store import cut, few, within, without
 from .traverse import first_of
 
 
@@ -97,7 +97,7 @@ def remove_edges(g: Graph, src: str, dst: str, kind: str | None = None) -> Graph
 def dedup_edges(g: Graph) -> DataFrame:
     """Edges between nodes, of each (src, dst, type) the one of the first bag."""
     ids = g.nodes.select("id")
-    e = g.edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    e = within(within(g.edges, ids.withColumnRenamed("id", "src"), "src"), ids.withColumnRenamed("id", "dst"), "dst")
     return e.groupBy("src", "dst", "type").agg(F.min("props_json").alias("props_json"))
 
 
