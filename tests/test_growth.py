@@ -84,6 +84,22 @@ def test_cycles_of_a_random_graph_and_ids_of_one_hash(spark, monkeypatch):
     assert sizes[0] == "bigint"  # numbers are trimmed before texts
 
 
+@pytest.mark.parametrize("levels", [100, 2])
+def test_labels_in_waves_are_those_of_one_task(spark, monkeypatch, levels):
+    rnd = random.Random(11)
+    parts = [[f"{p}{k:03}" for k in range(n)] for p, n in (("a", 80), ("b", 60), ("c", 30), ("d", 9))]
+    edges = [(rnd.choice(p), rnd.choice(p), rnd.choice(["calls", "contains", "relates_to"])) for p in parts for _ in range(3 * len(p))]
+    edges += [(rnd.choice(parts[0]), rnd.choice(parts[1]), "relates_to") for _ in range(8)]
+    g = graph(spark, [(x, "file") for p in parts for x in [*p, p[0] + ".alone"]], edges)
+    want = {(r.id, r.label, r.rounds) for r in communities.labels(g).collect()}
+    assert max(r for _, _, r in want) > 2
+    waves, real, used = communities.waves, communities.waves.propagate, []
+    monkeypatch.setattr(waves, "MOST_LEVELS", levels)
+    monkeypatch.setattr(waves, "propagate", lambda df, n: used.append(real(df, n, 60)) or used[-1])
+    assert {(r.id, r.label, r.rounds) for r in communities.labels(g, large=20).collect()} == want
+    assert (used[0] is None) == (levels == 2)
+
+
 @pytest.mark.parametrize("order", ["edges", "federated", "ids"])
 def test_paths_are_those_of_a_queue(spark, order):
     for seed in range(3):
