@@ -13,8 +13,8 @@ from pyspark.sql.window import Window
 from .. import schema as S
 from ..functions import columns as C
 from ..model import Graph, fill
-from ..store import cut, few, within, without
-from .traverse import first_of
+from ..store import cut, within
+from .traverse import first_of, marked, unmarked
 
 
 def _rank_of(c: str, ranks: dict[str, int], other: int):
@@ -75,10 +75,14 @@ def last_wins(claims: DataFrame) -> DataFrame:
 def upsert(g: Graph, nodes: DataFrame, edges: DataFrame) -> Graph:
     """Incoming nodes replace those of the same id; incoming edges that are there already, bag and all, are left out."""
     new = fill(nodes, S.NODE)
-    keep = g.nodes.join(new.select("id"), "id", "left_anti").select(*new.columns)
-    e = fill(edges, S.EDGE)
+    ids = cut(new.select("id").distinct())
+    keep = unmarked(g.nodes, ids, ids.count(), "id").select(*new.columns)
+    e = cut(fill(edges, S.EDGE).dropDuplicates())
+    ends = cut(e.select("src").distinct())
     own = g.edges.select(*e.columns)
-    fresh = e.dropDuplicates().join(own.dropDuplicates(), [e[c].eqNullSafe(own[c]) for c in e.columns], "left_anti")
+    # only edges from the same nodes are compared
+    there = cut(marked(own, ends, ends.count(), "src").dropDuplicates())
+    fresh = e.join(there, [e[c].eqNullSafe(there[c]) for c in e.columns], "left_anti")
     return Graph(keep.unionByName(new), own.unionByName(fresh), g.meta)
 
 
@@ -266,9 +270,8 @@ def diff(before: Graph | None, after: Graph | None) -> DataFrame:
     a = before.nodes.select("id", F.struct(*names).alias("a"), F.lit(1).alias("na")) if before else b.select("id", F.col("b").alias("a"), F.col("nb").alias("na")).limit(0)
     n = a.join(b, "id", "full_outer").select("id", F.when(F.col("na").isNull(), "added_node").when(F.col("nb").isNull(), "removed_node").when(~F.col("a").eqNullSafe(F.col("b")), "modified_node").alias("kind"))
     key = F.concat_ws("|", "src", "dst", "type").alias("id")
-    eb = after.edges.select(key).distinct().withColumn("nb", F.lit(1))
-    ea = before.edges.select(key).distinct().withColumn("na", F.lit(1)) if before else eb.select("id", F.col("nb").alias("na")).limit(0)
-    e = ea.join(eb, "id", "full_outer").select("id", F.when(F.col("na").isNull(), "added_edge").when(F.col("nb").isNull(), "removed_edge").alias("kind"))
+    sides = [x.edges.select(key, F.lit(a).alias("a"), F.lit(b).alias("b")) for x, a, b in ((before, True, False), (after, False, True)) if x]
+    e = reduce(DataFrame.union, sides).groupBy("id").agg(F.bool_or("a").alias("a"), F.bool_or("b").alias("b")).select("id", F.when(~F.col("a"), "added_edge").when(~F.col("b"), "removed_edge").alias("kind"))
     return n.unionByName(e).filter("kind IS NOT NULL").select("kind", "id")
 
 

@@ -135,3 +135,27 @@ def test_a_path_is_looked_for_from_the_smaller_end(spark, monkeypatch):
     monkeypatch.setattr(traverse, "cut", lambda df: (lambda out: rows.append(out.count()) or out)(cut(df)))
     assert [r.id for r in traverse.path(g, "s", "goal").orderBy("step").collect()] == ["s", "a", "b", "goal"]
     assert max(rows) <= 301
+
+
+def test_an_import_is_compared_with_edges_from_its_own_nodes(spark, monkeypatch):
+    g = graph(spark, [(f"n{k}", "file") for k in range(9)], [(f"n{k}", f"n{(k + 1) % 9}", "calls") for k in range(9)] + [("n1", "n2", "calls")])
+    rows, cut = [], build.cut
+    monkeypatch.setattr(build, "cut", lambda df: (lambda out: rows.append(out.count()) or out)(cut(df)))
+    e = spark.createDataFrame([("n1", "n2", "calls", "{}"), ("n1", "n3", "calls", "{}"), ("n1", "n3", "calls", "{}")], "src string, dst string, type string, props_json string")
+    out = build.upsert(g, g.nodes.filter("id = 'n4'").withColumn("label", F.lit("new")), e)
+    assert rows and max(rows) <= 2
+    assert out.edges.count() == 11 and out.edges.filter("dst = 'n3' AND src = 'n1'").count() == 1
+    assert sorted(r.label for r in out.nodes.collect()) == sorted(["new" if k == 4 else f"n{k}" for k in range(9)])
+
+
+def test_edges_of_a_diff_are_told_in_one_aggregation(spark):
+    g = relational.graph(spark, SF)
+    assert joins(build.diff(g, g)) <= 2 * (joins(g.nodes) + joins(g.edges)) + 1
+
+
+def test_structural_where_more_than_a_hundred_unknown_ends_have_most_edges(spark):
+    edges = [(f"s{k}", f"gone{i:03}", "calls") for i in range(105) for k in range(3)] + [("s0", "a", "calls"), ("s1", "a", "calls"), ("s0", "b", "calls")]
+    g = graph(spark, [(x, "file") for x in ("a", "b", "c")], edges)
+    assert {r.id: r.structural for r in traverse.structural(g).collect()} == {"a": 1.0, "b": 0.5, "c": 0.0}
+    assert {r.id: r.structural for r in traverse.structural(g, g.nodes.filter("id = 'b'").select("id")).collect()} == {"b": 0.5}
+    assert {r.structural for r in traverse.structural(Graph(g.nodes, g.edges.limit(0))).collect()} == {0.0}
