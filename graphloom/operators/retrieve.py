@@ -115,15 +115,17 @@ def query(g: Graph, term: str, limit: int = 20, roles: tuple[str, ...] = ()) ->
     out = ["rank", "id", "type", "label", "bm25", "structural", "authority_rel", "score", "groups_hit", "degraded"]
     old = aliases(g.nodes).filter(F.lower("alias") == term.strip().lower()).select("id") if gs else g.nodes.limit(0).select("id")
     named = g.nodes.filter(F.col("id") == term.strip()).select("id").union(old)
-    base = scored(g.nodes, gs or [["\x00"]]).join(structural(g), "id")
+    base = scored(g.nodes, gs or [["\x00"]])
     strict = reduce(lambda a, b: a + b, [_hit(x).cast("int") for x in gs]) if gs else F.lit(0)
     loose = reduce(lambda a, b: a + b, [_hit(x, False).cast("int") for x in gs]) if gs else F.lit(0)
     base = base.withColumn("s", strict).withColumn("l", loose).filter("s > 0 OR l > 0")
     base = base.withColumn("enriched", F.when(F.trim(F.coalesce(F.get_json_object("props_json", "$.enrichment.description"), F.lit(""))) != "", F.trim(F.get_json_object("props_json", "$.enrichment.description"))))
     base = base.withColumn("semantic", F.when(F.col("enriched").isNotNull(), _cosine(term, F.col("enriched"))))
     base = base.join(named.select("id", F.lit(True).alias("named")).distinct(), "id", "left")
+    held = cut(base.drop("description"))
+    base = held.join(structural(g, held.select("id")).hint("shuffle_hash"), "id")
     keep = ["id", "type", "label", "bm25", "structural", "authority", "confidence", "resolution", "roles", "s", "l", "named", "semantic"]
-    base = cut(base.select(*keep))  # matches only; scores are not computed again for the maxima
+    base = cut(base.select(*keep))
     exact, some = F.col("s") == len(gs), (F.col("l") > 0) & F.lit(len(gs) > 1)
     any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
     seen = base.agg(any_(F.coalesce("named", F.lit(False))).alias("any_named"), any_(exact).alias("any_strict")).first()

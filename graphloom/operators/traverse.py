@@ -244,11 +244,16 @@ def degree(g: Graph) -> DataFrame:
     return i.join(o, "id", "full_outer").select("id", F.coalesce("in_degree", z).alias("in_degree"), F.coalesce("out_degree", z).alias("out_degree"), (F.coalesce("in_degree", z) + F.coalesce("out_degree", z)).alias("degree"))
 
 
-def structural(g: Graph) -> DataFrame:
-    """(id, structural): incoming edges of each node over the most that a node has."""
-    n = g.nodes.select("id").distinct()
-    i = cut(within(g.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")), n, "id"))
-    return g.nodes.select("id").join(i.hint("shuffle_hash"), "id", "left").crossJoin(F.broadcast(i.agg(F.max("n").alias("top")))).select("id", F.coalesce(F.col("n") / F.col("top"), F.lit(0.0)).alias("structural"))
+def structural(g: Graph, ids: DataFrame | None = None) -> DataFrame:
+    """(id, structural) of all nodes, or of ids: incoming edges of each node over the most that a node has."""
+    i = cut(g.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n")))
+    # the most of any node: mostly one of those that have most edges, of which some may be no nodes
+    lead = cut(i.orderBy(F.desc("n")).limit(100))
+    top = marked(g.nodes.select("id"), lead.select("id"), 100, "id").distinct().join(lead, "id").agg(F.max("n").alias("top")).first().top
+    if top is None and i.count() > 100:
+        top = within(i, g.nodes.select("id"), "id").agg(F.max("n").alias("top")).first().top
+    own = g.nodes.select("id") if ids is None else ids.select("id").distinct()
+    return own.join(i.hint("shuffle_hash"), "id", "left").select("id", F.coalesce(F.col("n") / F.lit(top).cast("long"), F.lit(0.0)).alias("structural"))
 
 
 def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
